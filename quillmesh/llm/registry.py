@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import quality, sharding, simhash, sql
+from quillmesh.llm import quality, sharding, simhash, sql, toxicity
 from quillmesh.llm.common import read
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(read(spark, sf_dir), shingle=3, most=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -26,7 +30,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash, op7_sharding, op10_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op6_simhash, op7_sharding, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

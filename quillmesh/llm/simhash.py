@@ -249,26 +249,47 @@ def bits_apart(similarity: float, bits: int = WIDE * 64) -> float:
     return bits * float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / float(np.pi)
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, candidate_bits: int = 14) -> DataFrame:
-    """doc_id and component_id of each document; links are pairs whose shingle sets are estimated to be that similar.
+def _jaccard(shingle: int):
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for x, y in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True):
+            s, t = (set(shingle_hashes(words_of(text), shingle).tolist()) for text in (x, y))
+            out.append(len(s & t) / len(s | t) if s or t else 1.0)
+        return pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(out, pa.float64())], names=["u", "v", "similarity"])
 
-    A standard deviation of the estimate is granted, so that pairs at the similarity itself are mostly found.
+    return run
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, candidate_bits: int = 14, deviations: float = 2.5) -> DataFrame:
+    """doc_id and component_id of each document; links are pairs whose sets of shingles have that Jaccard similarity.
+
+    Candidates meet at an anchor of some table and have wide fingerprints no further apart than such pairs are expected
+    to be, plus so many standard deviations; the shingles themselves then decide.
     """
-    sigs = checkpoint(signatures(docs))
+    spark = docs.sparkSession
+    sigs = checkpoint(signatures(docs, shingle))
     nodes = checkpoint(sigs.groupBy("words", "wide").agg(F.min("doc_id").alias("node")).where("node is not null"))
     pairs = None
     for k in range(TABLES):
         found = link(nodes.select("node", F.col("words")[k].alias("fp")), candidate_bits, hamming=False)
         pairs = found if pairs is None else pairs.union(found)
     expected = bits_apart(similarity)
-    most = int(expected + (expected * (1 - expected / (WIDE * 64))) ** 0.5)
+    most = int(expected + deviations * (expected * (1 - expected / (WIDE * 64))) ** 0.5)
     wide = nodes.select("node", "wide")
     both = (
         pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         .join(wide.select(F.col("node").alias("u"), F.col("wide").alias("wide_u")), "u")
         .join(wide.select(F.col("node").alias("v"), F.col("wide").alias("wide_v")), "v")
     )
-    edges = both.select("u", "v", "wide_u", "wide_v").mapInArrow(per_batch(_apart), "u long, v long, apart int").where(F.col("apart") <= most)
-    roots = components(edges.select("u", "v"))
+    close = checkpoint(both.select("u", "v", "wide_u", "wide_v").mapInArrow(per_batch(_apart), "u long, v long, apart int").where(F.col("apart") <= most).select("u", "v"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    compared = (
+        close.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
+        .join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+        .repartition(partitions(spark))
+        .select("u", "v", "text_u", "text_v")
+        .mapInArrow(per_batch(_jaccard(shingle)), "u long, v long, similarity double")
+    )
+    roots = components(compared.where(F.col("similarity") >= similarity).select("u", "v"))
     rooted = nodes.join(roots, "node", "left").select("words", "wide", F.coalesce("root", "node").alias("component_id"))
     return sigs.join(rooted, ["words", "wide"], "left").select("doc_id", "component_id")
