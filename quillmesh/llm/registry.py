@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import quality, sharding, simhash, sql, toxicity
+from quillmesh.llm import media, quality, sharding, simhash, sql, toxicity
 from quillmesh.llm.common import read
 
 
@@ -25,12 +25,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(read(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op6_simhash, op7_sharding, op10_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op6_simhash, op7_sharding, op9_media, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
