@@ -92,11 +92,16 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w)], names=["slot", "weight"])
 
 
-def fit(labelled: DataFrame, max_rows: int = 16_000) -> dict[str, np.ndarray]:
-    """Weights from rows (doc_id, text, label 0 or 1): max_rows of them at most."""
-    sample = labelled.where("label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows)
-    features = sample.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(per_batch(_extract), "label int, slots binary")
-    found = features.coalesce(1).mapInArrow(_train_task, "slot long, weight double").toPandas()
+def fit(docs: DataFrame, marks: DataFrame, max_rows: int = 16_000) -> dict[str, np.ndarray]:
+    """Weights from the texts of docs whose doc_id has a label (0 or 1) in marks (doc_id, label).
+
+    The sample of ids is bounded by max_rows, so that it is broadcast; texts stay where they are, and only the features of
+    the sample go to the task that trains.
+    """
+    there = marks.where("label in (0, 1)").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    sample = there.select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    features = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(per_batch(_extract), "label int, slots binary")
+    found = features.repartition(1).mapInArrow(_train_task, "slot long, weight double").toPandas()
     return {"slot": found["slot"].to_numpy(np.int64), "weight": found["weight"].to_numpy(np.float64)}
 
 
@@ -120,14 +125,14 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str]) ->
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """Documents with a label, but for the fold that is held out."""
-    marks = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").alias("label")).dropDuplicates(["doc_id"])
-    return docs.where(learnable() % folds != held).select("doc_id", "text").join(marks, "doc_id")
+def usable(labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
+    """doc_id and label of the labelled documents, but for the fold that is held out."""
+    marks = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label"))
+    return marks.where(learnable() % folds != held).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
-    model = fit(labelled_rows(docs, labels), max_rows)
+    model = fit(docs.withColumn("doc_id", F.col("doc_id").cast("long")), usable(labels), max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learnable() % 4 == 2, F.lit(False)).alias("held_out"), "text")
     return score(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
