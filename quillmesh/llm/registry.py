@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, media, quality, sharding, simhash, sql, toxicity
+from quillmesh.llm import bpe, media, packing, quality, sharding, simhash, sql, toxicity
 from quillmesh.llm.common import read
 
 
@@ -30,6 +30,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(read(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), room=2048)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(read(spark, sf_dir))
 
@@ -39,7 +44,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op6_simhash, op7_sharding, op9_media, op10_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op6_simhash, op7_sharding, op8_packing, op9_media, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
