@@ -24,30 +24,28 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: (ids as decimal text, number of ids, bytes that they decode to) of a match.
-Entry = tuple[bytes, int, bytes]
+#: A match's ids as decimal text.
+Entry = bytes
 
 ENCODE = """
 WITH RECURSIVE steps AS (
-  SELECT word, pos, token, 0 AS step FROM bytes_
+  SELECT word, pos, token, true AS more FROM bytes_
   UNION ALL
-  SELECT word, pos, CASE WHEN pos = spot THEN rank ELSE token END AS token, step + 1 AS step
-  FROM (
-    SELECT *, min(key) OVER (PARTITION BY word) % 4294967296 AS spot, min(key) OVER (PARTITION BY word) AS best
-    FROM (
-      SELECT p.word, p.pos, p.token, p.before, p.step, m.rank, m.rank * 4294967296 + p.pos AS key
-      FROM (
-        SELECT word, pos, token, step, lead(token) OVER w AS after, lag(pos) OVER w AS before
-        FROM steps WINDOW w AS (PARTITION BY word ORDER BY pos)) AS p
-      LEFT JOIN merges AS m ON m.left_ = p.token AND m.right_ = p.after))
-  WHERE best IS NOT NULL AND (before IS NULL OR before <> spot)
-),
-last AS (SELECT word, max(step) AS step FROM steps GROUP BY word)
-SELECT s.word, s.pos, s.token FROM steps AS s JOIN last AS l ON s.word = l.word AND s.step = l.step
+  (WITH pairs AS (
+    SELECT word, pos, token, lead(token) OVER w AS after, lag(pos) OVER w AS before
+    FROM steps WHERE more WINDOW w AS (PARTITION BY word ORDER BY pos)),
+  best AS (
+    SELECT p.word, min(m.rank * 4294967296 + p.pos) AS key
+    FROM pairs AS p JOIN merges AS m ON m.left_ = p.token AND m.right_ = p.after GROUP BY p.word)
+  SELECT p.word, p.pos, CASE WHEN p.pos = b.key % 4294967296 THEN b.key // 4294967296 ELSE p.token END AS token, b.key IS NOT NULL AS more
+  FROM pairs AS p LEFT JOIN best AS b ON p.word = b.word
+  WHERE b.key IS NULL OR p.before IS NULL OR p.before <> b.key % 4294967296)
+)
+SELECT word, pos, token FROM steps WHERE NOT more
 """
 
 DECODE = """
-SELECT i.word, string_agg(CAST(i.token AS VARCHAR), ',' ORDER BY i.pos) AS ids, count(*) AS n, string_agg(v.piece, '' ORDER BY i.pos) AS piece
+SELECT i.word, string_agg(CAST(i.token AS VARCHAR), ',' ORDER BY i.pos) AS ids, string_agg(v.piece, '' ORDER BY i.pos) AS piece
 FROM ids AS i JOIN vocabulary AS v ON v.token = i.token GROUP BY i.word
 """
 
@@ -55,13 +53,15 @@ FROM ids AS i JOIN vocabulary AS v ON v.token = i.token GROUP BY i.word
 class Codec:
     """Encoder and decoder of one vocabulary in one process."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 200_000, rows: int = 1 << 18):
+    def __init__(self, path: str, pattern: str, keep: int = 600_000, rows: int = 1 << 18):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern)
         self.keep, self.rows = keep, rows
         self.recent: dict[str, Entry] = {}
         self.older: dict[str, Entry] = {}
+        #: What ids decode to, of matches that don't come back as they were (none, with a whole vocabulary).
+        self.odd: dict[str, bytes] = {}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
@@ -82,9 +82,11 @@ class Codec:
         token = self.single[np.frombuffer(b"".join(data), np.uint8)]
         self._table("bytes_", pa.table({"word": word, "pos": pos, "token": token}))
         self.con.execute(f"CREATE OR REPLACE TABLE ids AS {ENCODE}")
-        found: list[Entry] = [(b"", 0, b"")] * len(words)
-        for i, ids, n, piece in self.con.execute(DECODE).fetchall():
-            found[i] = (ids.encode(), n, bytes.fromhex(piece))
+        found: list[Entry] = [b""] * len(words)
+        for i, ids, piece in self.con.execute(DECODE).fetchall():
+            found[i] = ids.encode()
+            if (back := bytes.fromhex(piece)) != data[i]:
+                self.odd[words[i]] = back
         return found
 
     def learn(self, words: Iterable[str]) -> dict[str, Entry]:
@@ -94,11 +96,11 @@ class Codec:
         for w in words:
             entry = self.recent.get(w) or self.older.get(w)
             if entry is None:
-                rank = self.ranks.get(data := w.encode())
+                rank = self.ranks.get(w.encode())
                 if rank is None:
                     hard.append(w)
                     continue
-                entry = (b"%d" % rank, 1, data)
+                entry = b"%d" % rank
             out[w] = entry
         start = size = 0
         for i, w in enumerate(hard):
@@ -111,6 +113,12 @@ class Codec:
             self.older, self.recent = self.recent if len(self.recent) <= 3 * self.keep else {}, {}
         return out
 
+    def decoded(self, words: list[str]) -> bytes:
+        """What the ids of these matches decode to."""
+        if self.odd:
+            return b"".join([self.odd[w] if w in self.odd else w.encode() for w in words])
+        return "".join(words).encode()
+
     def matches(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
@@ -146,7 +154,7 @@ def _each(path: str, pattern: str, finish, schema: pa.Schema):
             for ids, texts in _groups(batch):
                 cut = [own.matches(t) for t in texts]
                 known = own.learn(set().union(*cut))
-                rows = [finish(doc_id, [known[w] for w in words]) for doc_id, words in zip(ids, cut, strict=True)]
+                rows = [finish(doc_id, b",".join([known[w] for w in words]), own.decoded(words)) for doc_id, words in zip(ids, cut, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -155,8 +163,8 @@ def _each(path: str, pattern: str, finish, schema: pa.Schema):
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids and decoded (the bytes that the ids stand for) of each document."""
 
-    def finish(doc_id: int | None, entries: list[Entry]) -> tuple:
-        return doc_id, [int(i) for e in entries for i in e[0].split(b",")], b"".join(e[2] for e in entries)
+    def finish(doc_id: int | None, ids: bytes, decoded: bytes) -> tuple:
+        return doc_id, [int(i) for i in ids.split(b",")] if ids else [], decoded
 
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_each(path, pattern, finish, schema), SCHEMA)
@@ -165,10 +173,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """What ``encode`` gives, as a count and checksums."""
 
-    def finish(doc_id: int | None, entries: list[Entry]) -> tuple:
-        ids = b",".join([e[0] for e in entries])
-        decoded = b"".join([e[2] for e in entries])
-        return doc_id, sum([e[1] for e in entries]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def finish(doc_id: int | None, ids: bytes, decoded: bytes) -> tuple:
+        return doc_id, ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_each(path, pattern, finish, schema), DIGESTS)
