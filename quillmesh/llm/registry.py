@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, media, packing, pii, quality, sharding, simhash, sql, toxicity
+from quillmesh.llm import bpe, hmm, media, packing, pii, quality, sharding, simhash, sql, toxicity
 from quillmesh.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(read(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op5_pii, op6_simhash, op7_sharding, op8_packing, op9_media, op10_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op4_hmm, op5_pii, op6_simhash, op7_sharding, op8_packing, op9_media, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
