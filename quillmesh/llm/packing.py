@@ -31,36 +31,42 @@ Plan = list[tuple[tuple[int, ...], int]]
 
 
 class Encoder:
-    """Token ids of texts, by white-space separated chunks, whose ids are kept (a bounded number, the least recently used go).
+    """Token ids of texts, by white-space separated chunks, whose ids are kept (a bounded number; then it starts anew).
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its chunks in order.
+    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its chunks in order. New chunks
+    are encoded many at a time, joined by spaces, and told apart by the offsets of their tokens.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 1_000_000, joined: int = 256):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep = keep
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.keep, self.joined = keep, joined
+        self.known: dict[bytes, bytes] = {}
+
+    def _one(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: list[bytes]) -> None:
+        for at in range(0, len(chunks), self.joined):
+            part = chunks[at : at + self.joined]
+            texts = [c.decode() for c in part]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            edges = np.searchsorted(starts, begin) * 4
+            data = np.array(found.ids, "<u4").tobytes()
+            if (starts[1:] < starts[:-1]).any():  # offsets that don't tell the chunks apart
+                self.known.update((c, self._one(t)) for c, t in zip(part, texts, strict=True))
+            else:
+                self.known.update((c, data[s:e]) for c, s, e in zip(part, edges.tolist(), [*edges[1:].tolist(), len(data)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.encode().split() if t else [] for t in texts]
-        known: dict[bytes, bytes] = {}
-        new: list[bytes] = []
-        for w in set().union(*cut):
-            found = self.recent.get(w) or self.older.get(w)
-            if found is None:
-                new.append(w)
-            else:
-                known[w] = found
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        self.recent.update(known)
-        if len(self.recent) > self.keep:
-            self.older, self.recent = self.recent if len(self.recent) <= 3 * self.keep else {}, {}
+        if len(self.known) > self.keep:
+            self.known.clear()
+        known = self.known
+        self.learn(list({w for words in cut for w in words if w not in known}))
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
