@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, hmm, media, packing, pii, quality, sharding, simhash, sql, toxicity
+from quillmesh.llm import bpe, hmm, media, packing, pii, quality, sharding, simhash, sql, suffix, toxicity
 from quillmesh.llm.common import read
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(read(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir), read(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op4_hmm, op5_pii, op6_simhash, op7_sharding, op8_packing, op9_media, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_toxicity, op3_bpe, op4_hmm, op5_pii, op6_simhash, op7_sharding, op8_packing, op9_media, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
