@@ -15,6 +15,7 @@ columns of the input are left alone. Texts are tokenized whole.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,31 +35,56 @@ class Encoder:
     """Token ids of texts, by white-space separated chunks, whose ids are kept (a bounded number; then it starts anew).
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its chunks in order. New chunks
-    are encoded many at a time, joined by spaces, and told apart by the offsets of their tokens.
+    are encoded many at a time, joined by spaces, and told apart by the tokens that end words, or by offsets.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000, joined: int = 256):
+    def __init__(self, path: str, keep: int = 1_000_000, joined: int = 128):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep, self.joined = keep, joined
         self.known: dict[bytes, bytes] = {}
-
-    def _one(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        #: Whether a token ends a word.
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _plain(self, chunks: list[bytes], texts: list[str], words: list[int]) -> None:
+        """Chunks of which it is known how many words they hold at least; their ids are told apart by the tokens that end words."""
+        groups = range(0, len(chunks), self.joined)
+        found = self.tokenizer.encode_batch_fast([" ".join(texts[at : at + self.joined]) for at in groups], add_special_tokens=False)
+        for at, e in zip(groups, found, strict=True):
+            part = chunks[at : at + self.joined]
+            ids = np.array(e.ids, "<u4")
+            last = np.flatnonzero(self.ends[ids])
+            count = np.cumsum(words[at : at + self.joined])
+            if len(last) != count[-1]:  # normalisation has made more words of some chunk
+                self._by_offsets(part, texts[at : at + self.joined])
+                continue
+            edges = ((last[count - 1] + 1) * 4).tolist()
+            data = ids.tobytes()
+            self.known.update((c, data[s:t]) for c, s, t in zip(part, [0, *edges[:-1]], edges, strict=True))
+
+    def _by_offsets(self, chunks: list[bytes], texts: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+        edges = (np.searchsorted(starts, begin) * 4).tolist()
+        data = np.array(found.ids, "<u4").tobytes()
+        if (starts[1:] < starts[:-1]).any():  # offsets that don't tell the chunks apart
+            self.known.update((c, np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) for c, t in zip(chunks, texts, strict=True))
+        else:
+            self.known.update((c, data[s:e]) for c, s, e in zip(chunks, edges, [*edges[1:], len(data)], strict=True))
 
     def learn(self, chunks: list[bytes]) -> None:
-        for at in range(0, len(chunks), self.joined):
-            part = chunks[at : at + self.joined]
-            texts = [c.decode() for c in part]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-            starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-            edges = np.searchsorted(starts, begin) * 4
-            data = np.array(found.ids, "<u4").tobytes()
-            if (starts[1:] < starts[:-1]).any():  # offsets that don't tell the chunks apart
-                self.known.update((c, self._one(t)) for c, t in zip(part, texts, strict=True))
-            else:
-                self.known.update((c, data[s:e]) for c, s, e in zip(part, edges.tolist(), [*edges[1:].tolist(), len(data)], strict=True))
+        texts = [c.decode() for c in chunks]
+        # Letters are a word, and letters with one mark after them two.
+        words = [1 if t.isalpha() else 2 if t[-1] in ".,;:!?" and t[:-1].isalpha() else 0 for t in texts]
+        plain = [i for i, n in enumerate(words) if n]
+        if plain:
+            self._plain([chunks[i] for i in plain], [texts[i] for i in plain], [words[i] for i in plain])
+        other = [i for i, n in enumerate(words) if not n]
+        for at in range(0, len(other), self.joined):
+            part = other[at : at + self.joined]
+            self._by_offsets([chunks[i] for i in part], [texts[i] for i in part])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -72,6 +98,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Encoder(path)
 
 
