@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that separate words: space and \\x09-\\x0D. ``bytes.split()`` splits at exactly these.
 MASK64 = (1 << 64) - 1
 
 
@@ -52,3 +54,25 @@ def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callab
                 yield made
 
     return run
+
+
+@functools.lru_cache(maxsize=1)
+def _packers() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob."""
+    head = np.array([len(arrays), *(len(a) * a.itemsize for a in arrays)], np.int64).tobytes()
+    return _packers()[0].compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    data = _packers()[1].decompress(blob)
+    sizes = np.frombuffer(data, np.int64, len(kinds), 8)
+    at = 8 * (len(kinds) + 1)
+    out = []
+    for kind, size in zip(kinds, sizes.tolist(), strict=True):
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
