@@ -25,18 +25,16 @@ whole, so a task's memory follows the longest document where that exceeds a shar
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import checkpoint, partitions
+from quillmesh.llm.common import checkpoint, pack, partitions, unpack
 
 LENGTH, WINDOW = 100, 60
 CONTEXT = LENGTH - WINDOW + 1
@@ -46,28 +44,6 @@ PAD = bytes(256)
 PLACE_BITS = 26
 
 
-@functools.lru_cache(maxsize=1)
-def _packers() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob."""
-    head = np.array([len(arrays), *(len(a) * a.itemsize for a in arrays)], np.int64).tobytes()
-    return _packers()[0].compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    data = _packers()[1].decompress(blob)
-    sizes = np.frombuffer(data, np.int64, len(kinds), 8)
-    at = 8 * (len(kinds) + 1)
-    out = []
-    for kind, size in zip(kinds, sizes.tolist(), strict=True):
-        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
-        at += size
-    return out
-
-
 def eights(data: bytes, n: int) -> np.ndarray:
     """The 8 bytes at each of n positions, the first byte lowest; data has room for them."""
     out = np.empty(n, np.uint64)
@@ -124,8 +100,8 @@ def anchored(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 NAMES = ("shard", "bucket", "docs", "blob")
-TYPES = [pa.int64(), pa.int32(), pa.list_(pa.struct([("doc_id", pa.int64()), ("length", pa.int64())])), pa.binary()]
-SCHEMA = "shard long, bucket int, docs array<struct<doc_id:long,length:long>>, blob binary"
+TYPES = [pa.int64(), pa.int32(), pa.list_(pa.struct([("doc_id", pa.int64()), ("length", pa.int64()), ("rest", pa.string())])), pa.binary()]
+SCHEMA = "shard long, bucket int, docs array<struct<doc_id:long,length:long,rest:string>>, blob binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -140,25 +116,22 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarr
             yield b, order[edges[b] : edges[b + 1]]
 
 
-def _gather(buckets: int):
-    """From (doc_id, text): a row for each shard (bucket -1; docs and their bytes) and its context hashes for each bucket."""
+def _gather():
+    """From (doc_id, text, rest): a row for each shard (docs and their bytes)."""
 
-    def close(shard: int, held: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+    def close(shard: int, held: list[tuple[int | None, bytes, str | None]]) -> pa.RecordBatch:
         held.sort(key=lambda d: FIRST if d[0] is None else d[0])
         data = b"".join([d[1] for d in held])
-        lengths = np.array([len(d[1]) for d in held], np.int64)
-        hashes = anchored(data, lengths)[3]
-        rows = [(shard, -1, [{"doc_id": d, "length": len(t)} for d, t in held], data)]
-        rows += [(shard, b, None, pack(hashes[i], i.astype(np.uint32))) for b, i in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64), buckets)]
+        rows = [(shard, -1, [{"doc_id": d, "length": len(t), "rest": r} for d, t, r in held], pack(np.frombuffer(data, np.uint8)))]
         return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[int | None, bytes, str | None]] = []
         size = 0
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                held.append((doc_id, (text or "").encode()))
+            for doc_id, text, rest in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "rest")), strict=True):
+                held.append((doc_id, (text or "").encode(), rest))
                 size += len(held[-1][1])
                 if size >= SHARD_BYTES or len(held) >= SHARD_DOCS:
                     yield close(task << 32 | made, held)
@@ -169,6 +142,21 @@ def _gather(buckets: int):
     return run
 
 
+def _hashes(buckets: int):
+    """From shards: the hashes of their anchors' contexts, and the anchors' numbers, for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, docs, blob = (batch.column(c)[i].as_py() for c in ("shard", "docs", "blob"))
+                hashes = anchored(unpack(blob, "u1")[0].tobytes(), np.array([d["length"] for d in docs], np.int64))[3]
+                rows = [(shard, b, None, pack(hashes[at], np.diff(at, prepend=0).astype(np.uint32))) for b, at in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64), buckets)]
+                if rows:
+                    yield _batch(rows)
+
+    return run
+
+
 def _buckets(treat):
     """Runs treat(rows of one bucket) for whole buckets."""
 
@@ -189,7 +177,7 @@ def _buckets(treat):
 
 def _twice(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
     """For each shard: its anchors whose hash is found twice, and whether another shard has it."""
-    parts = [unpack(blob, "<u8", "<u4") for _, blob in rows]
+    parts = [(hashes, np.cumsum(steps)) for hashes, steps in (unpack(blob, "<u8", "<u4") for _, blob in rows)]
     hashes = np.concatenate([p[0] for p in parts])
     of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
     order = np.argsort(hashes)
@@ -207,7 +195,7 @@ def _twice(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
         own = state[at : at + len(ordinal)]
         at += len(ordinal)
         if own.any():
-            out.append((shard, bucket, None, pack(ordinal[own > 0], own[own > 0])))
+            out.append((shard, bucket, None, pack(ordinal[own > 0].astype(np.uint32), own[own > 0])))
     return out or [(-1, bucket, None, None)]
 
 
@@ -323,7 +311,8 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _local(buckets: int):
     """From shards with their repeated anchors: marks within the shard (bucket -1), and segments for each bucket."""
 
-    def one(shard: int, docs: list[dict], data: bytes, found: list[bytes]) -> list[tuple]:
+    def one(shard: int, docs: list[dict], blob: bytes, found: list[bytes]) -> list[tuple]:
+        data = unpack(blob, "u1")[0].tobytes()
         lengths = np.array([d["length"] for d in docs], np.int64)
         _, first, last, hashes = anchored(data, lengths)
         state = np.zeros(len(first), np.uint8)
@@ -438,7 +427,8 @@ def _finish(emit, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                docs, data, marks = (b.column(c)[i].as_py() for c in ("docs", "blob", "found"))
+                docs, blob, marks = (b.column(c)[i].as_py() for c in ("docs", "blob", "found"))
+                data = unpack(blob, "u1")[0].tobytes()
                 gone, ends = _covered(docs, data, marks)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 left = np.concatenate([[0], np.cumsum(~gone)])
@@ -449,14 +439,14 @@ def _finish(emit, schema: pa.Schema):
                 for d, s, e in zip(docs, begin.tolist(), ends.tolist(), strict=True):
                     # A run that goes on from the document before counts as one that opens here.
                     spans = int(opened[e] - opened[s]) + int(e > s and gone[s] and not opens[s])
-                    rows.append(emit(d["doc_id"], data[s:e], spans, e - s - int(left[e] - left[s]), kept[int(left[s]) : int(left[e])]))
+                    rows.append(emit(d, spans, e - s - int(left[e] - left[s]), kept[int(left[s]) : int(left[e])]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """Shards with docs, blob (their bytes) and found (marks)."""
+def _marked(docs: DataFrame, rest: Column | None = None) -> DataFrame:
+    """Shards with docs, blob (their bytes) and found (marks); rest is a string that goes with each document."""
     spark = docs.sparkSession
     n = partitions(spark)
 
@@ -468,10 +458,9 @@ def _marked(docs: DataFrame) -> DataFrame:
         listed = found.groupBy("shard").agg(F.collect_list("blob").alias("found"))
         return shards.join(listed, "shard", "left")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gathered = checkpoint(rows.mapInArrow(_gather(n), SCHEMA))
-    shards = gathered.where("bucket < 0").select("shard", "docs", "blob")
-    seen = with_found(dealt(gathered, _twice)).withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None) if rest is None else rest).cast("string").alias("rest"))
+    shards = checkpoint(rows.mapInArrow(_gather(), SCHEMA).select("shard", "docs", "blob"))
+    seen = with_found(dealt(shards.mapInArrow(_hashes(n), SCHEMA), _twice)).withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
     local = checkpoint(seen.select("shard", "docs", "blob", "found").mapInArrow(_local(n), SCHEMA))
     marks = local.where("bucket < 0").select("shard", "blob").union(dealt(local, _merge).select("shard", "blob"))
     return with_found(marks).select("docs", "blob", "found")
@@ -481,18 +470,24 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes) and a checksum of what is left."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
-    def emit(doc_id: int | None, data: bytes, spans: int, removed: int, kept: bytes) -> tuple:
-        return doc_id, len(data), removed, spans, hashlib.sha256(kept).hexdigest()
+    def emit(doc: dict, spans: int, removed: int, kept: bytes) -> tuple:
+        return doc["doc_id"], doc["length"], removed, spans, hashlib.sha256(kept).hexdigest()
 
     return _marked(docs).mapInArrow(_finish(emit, schema), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, the whole text's hash (as xxhash64), what is left as bytes and the number of bytes removed, for each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("kept", pa.binary()), ("n_removed", pa.int64())])
+    """docs with what is left as text, and n_removed, the number of bytes removed.
+
+    Characters of which only some bytes are left go as a whole. The other columns stay; they travel as JSON.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    schema = pa.schema([("rest", pa.string()), ("text", pa.string()), ("n_removed", pa.int64())])
 
-    def emit(doc_id: int | None, data: bytes, spans: int, removed: int, kept: bytes) -> tuple:
-        return doc_id, data.decode(), kept, removed
+    def emit(doc: dict, spans: int, removed: int, kept: bytes) -> tuple:
+        return doc["rest"], kept.decode(errors="ignore"), removed
 
-    found = _marked(docs).mapInArrow(_finish(emit, schema), "doc_id long, source string, kept binary, n_removed long")
-    return found.select("doc_id", F.xxhash64("source").alias("text_key"), "kept", "n_removed")
+    marked = _marked(docs, F.to_json(F.struct(*others), {"ignoreNullFields": "false"}))
+    found = marked.mapInArrow(_finish(emit, schema), "rest string, text string, n_removed long")
+    kinds = docs.select(*others).schema
+    return found.withColumn("rest", F.from_json("rest", kinds)).select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns), "n_removed")
