@@ -293,3 +293,15 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cand
     roots = components(compared.where(F.col("similarity") >= similarity).select("u", "v"))
     rooted = nodes.join(roots, "node", "left").select("words", "wide", F.coalesce("root", "node").alias("component_id"))
     return sigs.join(rooted, ["words", "wide"], "left").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """docs without near copies: of each group the document with the least doc_id stays, with all its columns.
+
+    Of rows with one doc_id, one stays. Rows without doc_id stay if no other row has their text, one of each text.
+    """
+    found = near_copies(docs, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(found, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null").dropDuplicates(["text"]).withColumn("_text", F.coalesce("text", F.lit("")))
+    texts = docs.where("doc_id is not null").select(F.coalesce("text", F.lit("")).alias("_text")) if not nameless.isEmpty() else None
+    return named if texts is None else named.union(nameless.join(texts, "_text", "left_anti").select(*docs.columns))
