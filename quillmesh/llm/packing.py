@@ -86,14 +86,24 @@ class Encoder:
             part = other[at : at + self.joined]
             self._by_offsets([chunks[i] for i in part], [texts[i] for i in part])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.encode().split() if t else [] for t in texts]
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, given as UTF-8."""
         if len(self.known) > self.keep:
             self.known.clear()
-        known = self.known
-        self.learn(list({w for words in cut for w in words if w not in known}))
-        return [b"".join([known[w] for w in words]) for words in cut]
+        get = self.known.get
+        out: list[list[bytes | None]] = []
+        open_: list[tuple[list[bytes | None], list[bytes], list[int]]] = []
+        for text in texts:
+            words = text.split() if text else []
+            parts = [get(w) for w in words]
+            out.append(parts)
+            if None in parts:
+                open_.append((parts, words, [i for i, p in enumerate(parts) if p is None]))
+        self.learn(list({words[i] for _, words, at in open_ for i in at}))
+        for parts, words, at in open_:
+            for i in at:
+                parts[i] = get(words[i])
+        return [b"".join(parts) for parts in out]
 
 
 @functools.lru_cache(maxsize=2)
@@ -110,7 +120,7 @@ def pieces(docs: DataFrame, path: str, room: int = 2048, end: int = 0, with_ids:
     tail = np.array([end], "<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
-    def rows(ids: list[int | None], texts: list[str | None]) -> Iterator[tuple]:
+    def rows(ids: list[int | None], texts: list[bytes | None]) -> Iterator[tuple]:
         for doc_id, data in zip(ids, encoder(path).encode(texts), strict=True):
             data += tail
             for i, at in enumerate(range(0, len(data), 4 * room)):
@@ -122,7 +132,7 @@ def pieces(docs: DataFrame, path: str, room: int = 2048, end: int = 0, with_ids:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                found = list(rows(part.column("doc_id").to_pylist(), part.column("text").to_pylist()))
+                found = list(rows(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
