@@ -157,10 +157,14 @@ def listed(base, added=None):
     return F.array_join(parts, ",")
 
 
+def is_kind(k: int):
+    return lambda s: s["kind"] == k
+
+
 def digests(docs: DataFrame, **how) -> DataFrame:
     """Counts by kind, a checksum of the base spans and all spans."""
     found = find(docs, **how)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", is_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(F.encode(listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"), listed(F.col("base"), F.col("added")).alias("spans"))
 
 
