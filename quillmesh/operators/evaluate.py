@@ -1,0 +1,125 @@
+"""Scoring of detectors against labels.
+
+expected and actual are tables of (case_id, value, type); cases has one row for each case. All joins are on keys, all sums are partial
+before the shuffle, and the few dimension rows are literals.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmesh.functions import patterns as P
+from quillmesh.functions import scalar as S
+
+PAIR = ("case_id", "value", "type")
+
+
+def marked(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Every distinct pair of a case, with is_expected, is_actual and hit."""
+    both = expected.select(*PAIR, F.lit(1).alias("e"), F.lit(0).alias("a")).unionByName(actual.select(*PAIR, F.lit(0).alias("e"), F.lit(1).alias("a")))
+    return both.groupBy(*PAIR).agg(F.max("e").alias("is_expected"), F.max("a").alias("is_actual")).withColumn("hit", F.col("is_expected") * F.col("is_actual"))
+
+
+def _sums() -> list[Column]:
+    return [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("is_expected", "expected"), ("is_actual", "predicted"), ("hit", "true_positives"))]
+
+
+def with_metrics(sums: DataFrame) -> DataFrame:
+    """expected, predicted and true_positives with misses and rates."""
+    e, p, t = (F.col(c) for c in ("expected", "predicted", "true_positives"))
+    return sums.withColumns({"false_positives": F.greatest(F.lit(0), p - t), "false_negatives": F.greatest(F.lit(0), e - t), "precision": S.ratio(t, p), "recall": S.ratio(t, e)})
+
+
+def entity_types(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in P.ENTITY_TYPES])).alias("type"))
+
+
+def overall(pairs: DataFrame) -> DataFrame:
+    return with_metrics(pairs.agg(*_sums()))
+
+
+def per_type(pairs: DataFrame) -> DataFrame:
+    """A row for each of the types, found or not."""
+    sums = pairs.groupBy("type").agg(*_sums())
+    kinds = entity_types(pairs.sparkSession).join(sums, "type", "left")
+    return with_metrics(kinds.na.fill(0, ["expected", "predicted", "true_positives"]))
+
+
+def per_language(pairs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Languages with at least one expected entity."""
+    joined = pairs.join(cases.select("case_id", F.coalesce("language", F.lit("unknown")).alias("language")), "case_id")
+    sums = joined.groupBy("language").agg(*_sums()).where(F.col("expected") > 0)
+    return sums.select("language", "expected", "true_positives", S.ratio(F.col("true_positives"), F.col("expected")).alias("recall"))
+
+
+def grouped(pairs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Overall, by type and by language in one pass."""
+    joined = pairs.join(cases.select("case_id", F.coalesce("language", F.lit("unknown")).alias("language")), "case_id")
+    sums = joined.groupingSets([[], ["type"], ["language"]], "type", "language").agg(*_sums(), F.grouping_id().alias("grouping_id"))
+    return with_metrics(sums)
+
+
+def covered(pairs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Cases with expected entities, those found in full, and what is left to a person; rates are 0 where there is nothing."""
+    by_case = pairs.groupBy("case_id").agg(*_sums())
+    rows = cases.select("case_id").join(by_case, "case_id", "left").na.fill(0)
+    out = rows.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("expected", "expected_values"), ("true_positives", "found_values"), ("predicted", "predicted_values"))],
+        F.count_if(F.col("expected") > 0).alias("documents_with_entities"),
+        F.count_if((F.col("expected") > 0) & (F.col("expected") == F.col("true_positives"))).alias("documents_fully_covered"),
+        F.coalesce(F.sum(F.col("expected") - F.col("true_positives")), F.lit(0)).cast("long").alias("values_left"),
+    )
+    rate = lambda whole: F.coalesce(S.ratio(F.col("found_values"), F.col(whole)), F.lit(0.0))
+    return out.withColumns({"recall": rate("expected_values"), "precision": rate("predicted_values")})
+
+
+def values_left(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    return expected.select(*PAIR).distinct().join(actual.select(*PAIR), list(PAIR), "left_anti")
+
+
+def extra_values(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Values found that no label of the case has, whatever the type."""
+    return actual.select("case_id", "value").distinct().join(expected.select("case_id", "value"), ["case_id", "value"], "left_anti")
+
+
+def with_wilson(sums: DataFrame, successes: str = "true_positives", total: str = "expected") -> DataFrame:
+    return sums.withColumns({"wilson_low": S.wilson(F.col(successes), F.col(total), True), "wilson_high": S.wilson(F.col(successes), F.col(total), False)})
+
+
+def status(code: Column, gate_reasons: Column, manual_warning: Column, leaked: Column) -> Column:
+    """What became of a case; the first that holds."""
+    return (
+        F.when(code.isNotNull(), F.concat(F.lit("blocked:"), code))
+        .when(F.size(gate_reasons) > 0, F.lit("blocked:GateBlocked"))
+        .when(manual_warning.isNotNull(), F.concat(F.lit("blocked:"), manual_warning))
+        .when(leaked > 0, F.lit("blocked:fixture_oracle"))
+        .otherwise(F.lit("passed"))
+    )
+
+
+def case_counters(cases: DataFrame) -> DataFrame:
+    """From cases with status, category, expected and predicted counts: the report's counters."""
+    s = F.col("status")
+    failed = s.startswith("blocked:") & ~s.isin("blocked:GateBlocked", "blocked:fixture_oracle")
+    return cases.agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.count_if(s.isin("passed", "blocked:fixture_oracle")).alias("runtime_gate_passes"),
+        F.count_if(s == "blocked:GateBlocked").alias("runtime_gate_blocks"),
+        F.count_if(failed).alias("detection_failures"),
+        F.count_if(s == "passed").alias("fixture_oracle_passes"),
+        F.count_if(s == "blocked:fixture_oracle").alias("known_control_leak_cases"),
+        F.count_if(F.col("expected") == 0).alias("clean_cases"),
+        F.count_if((F.col("expected") == 0) & (F.col("predicted") == 0)).alias("clean_cases_without_detections"),
+        F.count_if(F.coalesce("category", F.lit("standard")) != "standard").alias("adversarial_cases"),
+    )
+
+
+def failures_by_code(cases: DataFrame) -> DataFrame:
+    s = F.col("status")
+    failed = cases.where(s.startswith("blocked:") & ~s.isin("blocked:GateBlocked", "blocked:fixture_oracle"))
+    return failed.groupBy(F.regexp_replace("status", "^blocked:(semantic_detector_)?", "").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def latencies(cases: DataFrame, seconds: str = "seconds") -> DataFrame:
+    return cases.agg(F.bround(F.median(seconds), 3).alias("latency_median_seconds"), F.bround(F.max(seconds), 3).alias("latency_max_seconds"))
