@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -32,7 +33,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    del df
+    # What led here is held no longer, so its shuffle files can go before the next step needs room.
+    gc.collect()
+    context._jvm.System.gc()
+    return done
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,7 +64,7 @@ def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callab
 
 @functools.lru_cache(maxsize=1)
 def _packers() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -142,6 +142,17 @@ def _gather():
     return run
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The upper 40 bits, as bytes. Within a bucket few others share them, and these only cost time."""
+    return (hashes >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
+
+
+def long(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = data.reshape(-1, 5)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _hashes(buckets: int):
     """From shards: the hashes of their anchors' contexts, and the anchors' numbers, for each bucket."""
 
@@ -150,7 +161,7 @@ def _hashes(buckets: int):
             for i in range(batch.num_rows):
                 shard, docs, blob = (batch.column(c)[i].as_py() for c in ("shard", "docs", "blob"))
                 hashes = anchored(unpack(blob, "u1")[0].tobytes(), np.array([d["length"] for d in docs], np.int64))[3]
-                rows = [(shard, b, None, pack(hashes[at], np.diff(at, prepend=0).astype(np.uint32))) for b, at in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64), buckets)]
+                rows = [(shard, b, None, pack(short(hashes[at]), np.diff(at, prepend=0).astype(np.uint32))) for b, at in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64), buckets)]
                 if rows:
                     yield _batch(rows)
 
@@ -177,7 +188,7 @@ def _buckets(treat):
 
 def _twice(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
     """For each shard: its anchors whose hash is found twice, and whether another shard has it."""
-    parts = [(hashes, np.cumsum(steps)) for hashes, steps in (unpack(blob, "<u8", "<u4") for _, blob in rows)]
+    parts = [(long(data), np.cumsum(steps)) for data, steps in (unpack(blob, "u1", "<u4") for _, blob in rows)]
     hashes = np.concatenate([p[0] for p in parts])
     of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
     order = np.argsort(hashes)
@@ -386,11 +397,11 @@ def _merge(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
     edge = np.concatenate([[True], index[1:] != index[:-1]])
     equal = np.flatnonzero(~edge)
     if len(equal):
-        words = eights(text.tobytes() + PAD, len(text) + 8)
+        windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
         bad = np.zeros(len(equal), bool)
-        a, b = place[order[equal - 1]], place[order[equal]]
-        for o in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-            bad |= words[a + o] != words[b + o]
+        for i in range(0, len(equal), 1 << 15):
+            own_part = equal[i : i + (1 << 15)]
+            bad[i : i + len(own_part)] = (windows[place[order[own_part - 1]]] != windows[place[order[own_part]]]).any(axis=1)
         if bad.any():  # equal keys of different strings: these get keys of their own
             view = text.tobytes()
             clash = np.flatnonzero(np.isin(own, index[equal[bad]]))
@@ -461,7 +472,9 @@ def _marked(docs: DataFrame, rest: Column | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None) if rest is None else rest).cast("string").alias("rest"))
     shards = checkpoint(rows.mapInArrow(_gather(), SCHEMA).select("shard", "docs", "blob"))
     seen = with_found(dealt(shards.mapInArrow(_hashes(n), SCHEMA), _twice)).withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
-    local = checkpoint(seen.select("shard", "docs", "blob", "found").mapInArrow(_local(n), SCHEMA))
+    local = seen.select("shard", "docs", "blob", "found").mapInArrow(_local(n), SCHEMA)
+    del seen
+    local = checkpoint(local)
     marks = local.where("bucket < 0").select("shard", "blob").union(dealt(local, _merge).select("shard", "blob"))
     return with_found(marks).select("docs", "blob", "found")
 
