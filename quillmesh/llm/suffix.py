@@ -38,10 +38,10 @@ from quillmesh.llm.common import checkpoint, pack, partitions, unpack
 
 LENGTH, WINDOW = 100, 60
 CONTEXT = LENGTH - WINDOW + 1
-SHARD_BYTES, SHARD_DOCS = 4 << 20, 50_000
+SHARD_BYTES, SHARD_DOCS = 2 << 20, 50_000
 FIRST = -(1 << 63)  # stands for a missing doc_id
 PAD = bytes(256)
-PLACE_BITS = 26
+PLACE_BITS = 20
 
 
 def eights(data: bytes, n: int) -> np.ndarray:
