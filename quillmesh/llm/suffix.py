@@ -39,6 +39,8 @@ from quillmesh.llm.common import checkpoint, pack, partitions, unpack
 LENGTH, WINDOW = 100, 60
 CONTEXT = LENGTH - WINDOW + 1
 SHARD_BYTES, SHARD_DOCS = 2 << 20, 50_000
+#: Buckets of segments for each task, which treats one after another.
+FINER = 4
 FIRST = -(1 << 63)  # stands for a missing doc_id
 PAD = bytes(256)
 PLACE_BITS = 20
@@ -472,7 +474,7 @@ def _marked(docs: DataFrame, rest: Column | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None) if rest is None else rest).cast("string").alias("rest"))
     shards = checkpoint(rows.mapInArrow(_gather(), SCHEMA).select("shard", "docs", "blob"))
     seen = with_found(dealt(shards.mapInArrow(_hashes(n), SCHEMA), _twice)).withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
-    local = seen.select("shard", "docs", "blob", "found").mapInArrow(_local(n), SCHEMA)
+    local = seen.select("shard", "docs", "blob", "found").mapInArrow(_local(FINER * n), SCHEMA)
     del seen
     local = checkpoint(local)
     marks = local.where("bucket < 0").select("shard", "blob").union(dealt(local, _merge).select("shard", "blob"))
