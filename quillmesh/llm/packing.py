@@ -38,7 +38,7 @@ class Encoder:
     are encoded many at a time, joined by spaces, and told apart by the tokens that end words, or by offsets.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000, joined: int = 128):
+    def __init__(self, path: str, keep: int = 500_000, joined: int = 128):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep, self.joined = keep, joined
