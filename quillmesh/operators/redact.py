@@ -159,7 +159,7 @@ def redact_spans(df: DataFrame, nonce: Column, typed: bool = False) -> DataFrame
 
 def span_error(fields: Column, found: Column) -> Column:
     """Why reviewed spans can't be used, null if they can."""
-    by = lambda s: F.element_at(F.filter(fields, lambda f: f["field"] == s["field"]), 1)
+    by = lambda s: F.get(F.filter(fields, lambda f: f["field"] == s["field"]), F.lit(0))
     unknown = F.exists(found, lambda s: by(s).isNull())
     bounds = F.exists(found, lambda s: (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length(by(s)["text"])))
     overlap = F.exists(found, lambda a: F.size(F.filter(found, lambda b: (a["field"] == b["field"]) & (a["start"] < b["end"]) & (a["end"] > b["start"]))) > 1)

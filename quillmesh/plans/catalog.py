@@ -1,19 +1,663 @@
-"""Named queries over the driver's tables, each with its DuckDB counterpart."""
+"""Named queries over the driver's tables. ``oracle`` holds their DuckDB counterparts; what has none is tested by itself."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillmesh.functions import patterns as P
+from quillmesh.functions import scalar as S
+from quillmesh.operators import admission, canon, detect, evaluate, gate, lifecycle, receipts, redact, review
+from quillmesh.plans import corpus as C
+from quillmesh.plans import oracle as O
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+KEY = b"0123456789abcdef0123456789abcdef"
+RULE = {r.type: r for r in P.RULES}
+NONCE = S.derived_nonce
+MODELS = ("model/alpha", "model/beta")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations with the entities found in what a detector is shown. Their texts are plain."""
+    shown = F.concat(F.lit("TASK\n"), F.col("task"), F.lit("\nDOCUMENT\n"), F.col("text"))
+    return detect.with_entities(C.ops(spark, sf_dir).withColumn("shown", shown), "shown", sure_usual=True)
+
+
+def _redacted(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataFrame:
+    return redact.redact(_found(spark, sf_dir), S.derived_nonce(C.SALT, F.col("op_id")), typed)
+
+
+def _text(sanitized: Column, i: int) -> Column:
+    return F.element_at(sanitized, i)["text"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by tokens, and the gate's verdict on each."""
+    docs = detect.with_entities(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = redact.redact(docs.withColumn("fields", redact.fields_of(("text", F.col("text")))), S.derived_nonce(C.SALT, F.col("doc_id")))
+    out = done.withColumn("reasons", gate.reasons(F.col("sanitized"), F.col("mapping")))
+    status = F.when(F.col("error").isNotNull(), F.col("error")).when(F.size("reasons") > 0, F.lit("BLOCKED")).otherwise(F.lit("READY_FOR_REVIEW"))
+    return out.select("doc_id", status.alias("status"), _text(F.col("sanitized"), 1).alias("sanitized_text"), F.size("mapping").alias("n_tokens"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query()
+def flagship_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+# Detection ---------------------------------------------------------------------------------------------------------------------
+
+
+def _documents_rule(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = C.table(spark, sf_dir, "documents")
+        return docs.select("doc_id", F.explode(detect.candidates(F.col("text"), RULE[kind])).alias("value")).distinct()
+
+    return run
+
+
+def _ops_rule(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return C.ops(spark, sf_dir).select("op_id", F.explode(detect.candidates(F.col("text"), RULE[kind])).alias("value")).distinct()
+
+    return run
+
+
+for _kind, _name in (("EMAIL", "detect_email"), ("PHONE", "detect_phone"), ("CARD", "detect_card_luhn")):
+    QUERIES[_name] = _documents_rule(_kind)
+    ORACLES[_name] = f"SELECT DISTINCT doc_id, value FROM ({O.rule(_kind, 'documents', 'doc_id')})"
+for _kind in RULE:
+    _name = f"detect_{_kind.lower()}_ops"
+    QUERIES[_name] = _ops_rule(_kind)
+    ORACLES[_name] = f"WITH ops AS ({C.OPS}) SELECT DISTINCT op_id, value FROM ({O.rule(_kind, 'ops', 'op_id')})"
+
+
+@query(f"WITH ops AS ({C.OPS}) {O.entities('ops', 'op_id')}")
+def detect_all_dedup(spark, sf_dir):
+    return detect.exploded(detect.with_entities(C.ops(spark, sf_dir), sure_usual=True), "op_id")
+
+
+@query(f"SELECT type, count(*) AS n FROM ({O.entities('documents', 'doc_id', kinds=('EMAIL', 'CARD', 'PHONE'))}) GROUP BY type")
+def detect_counts(spark, sf_dir):
+    rows = detect.with_entities(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return detect.exploded(rows, "doc_id").where(F.col("type").isin("EMAIL", "CARD", "PHONE")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT page_id, value, type FROM ({O.entities('(SELECT page_id, html AS text FROM pages)', 'page_id', kinds=('EMAIL', 'CARD', 'PHONE'))}) WHERE type IN ('EMAIL', 'CARD')")
+def detect_pages(spark, sf_dir):
+    rows = detect.with_entities(C.table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    return detect.exploded(rows, "page_id").where(F.col("type").isin("EMAIL", "CARD"))
+
+
+@query(
+    f"""WITH ops AS ({C.OPS}), hits AS ({" UNION ALL ".join(O.rule(k, "ops", "op_id") for k in O.RE2)})
+    SELECT op_id, value, min_by(type, {O.PRIORITY} * 100 + {O.SEEN}) AS type, count(DISTINCT type) AS n_rules FROM hits GROUP BY op_id, value HAVING count(DISTINCT type) > 1"""
+)
+def detect_priority_ties(spark, sf_dir):
+    """Values that more than one rule finds, and the type that wins."""
+    hits = C.ops(spark, sf_dir).select("op_id", F.explode(detect.rule_hits(F.col("text"))).alias("e")).select("op_id", "e.value", "e.type")
+    rank = F.struct(detect.priority(F.col("type")), F.array_position(F.array(*[F.lit(r.type) for r in P.RULES]), F.col("type")))
+    return hits.groupBy("op_id", "value").agg(F.min_by("type", rank).alias("type"), F.count_distinct("type").alias("n_rules")).where("n_rules > 1")
+
+
+@query()
+def detect_obfuscated(spark, sf_dir):
+    """Addresses written with [at] and (dot), full-width digits and zero-width characters, found by way of the canonical form."""
+    rows = C.table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.concat(F.lit("mail user"), "c_custkey", F.lit(" [at] example (dot) test or ４１１１ １１１１ １１１１ １１１１, k​ey"), F.lit("")).alias("text"),
+    )
+    return detect.exploded(detect.with_entities(rows), "c_custkey")
+
+
+@query()
+def canonical_form(spark, sf_dir):
+    rows = C.table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(" ﬁ​① [at] x")).alias("text"))
+    made = rows.select("c_custkey", canon.canonical_column(F.col("text")).alias("c"))
+    return made.select("c_custkey", F.col("c.text").alias("canonical"), F.size("c.starts").alias("n"))
+
+
+def _proposed(df: DataFrame) -> DataFrame:
+    """Proposals of two models, made from the key: names, wrong values, unknown types and answers that can't be parsed."""
+    name = F.concat(F.lit("Mara "), F.regexp_extract("text", "client([0-9]+)@", 1))
+    good = F.array(F.struct(name.alias("value"), F.lit("PERSON").alias("type")))
+    mail = F.array(F.struct(F.concat(F.lit("client"), F.regexp_extract("text", "client([0-9]+)@", 1), F.lit("@example.test")).alias("value"), F.lit("ORG").alias("type")))
+    has = F.contains(F.col("text"), name)
+    none = F.array().cast(detect.ENTITIES)
+    alpha = F.when(F.col("op_id") % 10 == 1, F.lit(None)).when(has, good).otherwise(none)
+    beta = F.when(F.col("op_id") % 10 == 2, good).when(F.col("op_id") % 5 == 1, F.lit(None)).otherwise(mail)
+    out = df.withColumns({"alpha": alpha, "beta": beta})
+    return out.withColumns({"alpha_code": detect.proposal_code(F.col("text"), F.col("alpha")), "beta_code": detect.proposal_code(F.col("text"), F.col("beta"))})
+
+
+_NAME = "concat('Mara ', regexp_extract(text, 'client([0-9]+)@', 1))"
+_PROPOSED = f"""WITH ops AS ({C.OPS}), seen AS (
+  SELECT *, {_NAME} AS name, concat('client', regexp_extract(text, 'client([0-9]+)@', 1), '@example.test') AS mail FROM ops),
+coded AS (
+  SELECT *, CASE WHEN op_id % 10 = 1 THEN 'invalid_structured_output' END AS alpha_code,
+    CASE WHEN op_id % 10 = 2 THEN CASE WHEN NOT contains(text, name) THEN 'non_exact_substring' END WHEN op_id % 5 = 1 THEN 'invalid_structured_output' END AS beta_code FROM seen)"""
+
+
+@query(_PROPOSED + " SELECT op_id, alpha_code, beta_code FROM coded")
+def proposal_validation(spark, sf_dir):
+    return _proposed(C.ops(spark, sf_dir)).select("op_id", "alpha_code", "beta_code")
+
+
+_RULES = O.entities("ops", "op_id")
+_MERGED = f"""SELECT op_id, value, type FROM (
+  SELECT *, row_number() OVER (PARTITION BY op_id, value ORDER BY {O.PRIORITY}, src) AS _n FROM all_) WHERE _n = 1"""
+
+
+@query(
+    _PROPOSED
+    + f""", all_ AS (
+  SELECT op_id, name AS value, 'PERSON' AS type, 0 AS src FROM coded WHERE alpha_code IS NULL AND contains(text, name)
+  UNION ALL SELECT op_id, value, type, 2 FROM ({_RULES})) {_MERGED}"""
+)
+def semantic_union(spark, sf_dir):
+    """One semantic detector and the rules; where it fails the rules stand alone."""
+    rows = detect.with_entities(_proposed(C.ops(spark, sf_dir)), sure_usual=True)
+    made = rows.withColumn("o", detect.single_outcome(F.col("entities"), F.col("alpha"), F.col("alpha_code")))
+    return detect.exploded(made.select("op_id", F.col("o.entities").alias("entities")), "op_id")
+
+
+@query(
+    _PROPOSED
+    + f""", all_ AS (
+  SELECT op_id, name AS value, 'PERSON' AS type, 0 AS src FROM coded WHERE alpha_code IS NULL AND contains(text, name)
+  UNION ALL SELECT op_id, CASE WHEN op_id % 10 = 2 THEN name ELSE mail END, CASE WHEN op_id % 10 = 2 THEN 'PERSON' ELSE 'ORG' END, 1 FROM coded WHERE beta_code IS NULL
+  UNION ALL SELECT op_id, value, type, 2 FROM ({_RULES})),
+merged AS ({_MERGED})
+SELECT c.op_id, (SELECT count(*) FROM merged AS m WHERE m.op_id = c.op_id) AS n_entities,
+  concat_ws(',', CASE WHEN alpha_code IS NOT NULL THEN 'semantic_detector_alpha_' || alpha_code END, CASE WHEN beta_code IS NOT NULL THEN 'semantic_detector_beta_' || beta_code END) AS warnings,
+  alpha_code IS NOT NULL AND beta_code IS NOT NULL AS requires_manual_review FROM coded AS c"""
+)
+def ensemble_outcome(spark, sf_dir):
+    rows = detect.with_entities(_proposed(C.ops(spark, sf_dir)), sure_usual=True)
+    outcome = detect.ensemble_outcome(F.col("entities"), [(MODELS[0], F.col("alpha"), F.col("alpha_code")), (MODELS[1], F.col("beta"), F.col("beta_code"))])
+    made = rows.select("op_id", outcome.alias("o"))
+    return made.select("op_id", F.size("o.entities").cast("long").alias("n_entities"), F.array_join("o.warnings", ",").alias("warnings"), "o.requires_manual_review")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Mara ' || c_custkey WHEN c_custkey % 3 = 1 THEN c_name END AS value FROM customer")
+def answer_fallback(spark, sf_dir):
+    """A model's answer from its content, or from its reasoning where the content is empty; null where neither parses."""
+    json = F.concat(F.lit('{"entities":[{"value":"'), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Mara "), "c_custkey")).otherwise(F.col("c_name")), F.lit('","type":"PERSON"}]}'))
+    content = F.when(F.col("c_custkey") % 3 == 0, json).when(F.col("c_custkey") % 3 == 1, F.lit("")).otherwise(F.lit("no JSON"))
+    found = detect.parsed_proposals(content, json)
+    return C.table(spark, sf_dir, "customer").select("c_custkey", F.try_element_at(found, F.lit(1))["value"].alias("value"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || chr(10) || c_mktsegment END AS answer FROM customer")
+def provider_answer(spark, sf_dir):
+    whole = F.concat(F.lit('{"output_text":"'), "c_name", F.lit('"}'))
+    parts = F.concat(F.lit('{"output":[{"content":[{"text":"'), "c_name", F.lit('"}]},{"content":[{"text":"'), "c_mktsegment", F.lit('"}]}]}'))
+    body = F.when(F.col("c_custkey") % 2 == 0, whole).otherwise(parts)
+    return C.table(spark, sf_dir, "customer").select("c_custkey", gate.response_text(body).alias("answer"))
+
+
+# Redaction ---------------------------------------------------------------------------------------------------------------------
+
+
+@query("WITH " + O.BASE + "SELECT op_id, field, value, start_ AS \"start\" FROM spans")
+def occurrences(spark, sf_dir):
+    rows = _found(spark, sf_dir).select("op_id", F.explode("fields").alias("f"), "entities").select("op_id", "f.field", "f.text", F.explode("entities").alias("e"))
+    hits = rows.where(F.contains("text", "e.value")).withColumn("start", redact.occurrences(F.col("text"), F.col("e.value")))
+    return hits.select("op_id", "field", F.col("e.value").alias("value"), F.explode("start").alias("start"))
+
+
+@query("""SELECT c_custkey, unnest(range(0, 2 + c_custkey % 4))::INTEGER AS "start" FROM customer""")
+def occurrences_overlapping(spark, sf_dir):
+    """Starts of 'aa' in runs of a, which overlap each other."""
+    text = F.repeat(F.lit("a"), (F.col("c_custkey") % 4 + 3).cast("int"))
+    return C.table(spark, sf_dir, "customer").select("c_custkey", F.explode(redact.occurrences(text, F.lit("aa"))).alias("start"))
+
+
+@query("""SELECT c_custkey, 'CARD' AS type, 6 AS "start", 25 AS "end" FROM customer UNION ALL SELECT c_custkey, 'PERSON', 30, 34 FROM customer WHERE c_custkey % 2 = 0""")
+def overlap_longest_first(spark, sf_dir):
+    """Of a card and the phone number inside it the longer one stays; spans apart from it stay as well."""
+    text = F.concat(F.lit("card: 4111 1111 1111 1111, by "), F.when(F.col("c_custkey") % 2 == 0, F.lit("Mara")).otherwise(F.lit("")))
+    ents = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(t).alias("type")) for v, t in (("1111 1111 1111", "PHONE"), ("4111 1111 1111 1111", "CARD"), ("Mara", "PERSON"), ("ara", "ORG"))])
+    found = redact.chosen(redact.candidate_spans(text, ents))
+    return C.table(spark, sf_dir, "customer").select("c_custkey", F.explode(found).alias("s")).select("c_custkey", "s.type", "s.start", "s.end")
+
+
+@query("WITH " + O.OPAQUE + 'SELECT op_id, field, start_ AS "start", end_ AS "end", type, token FROM tokened')
+def spans_opaque(spark, sf_dir):
+    return _redacted(spark, sf_dir).select("op_id", F.explode("spans").alias("s")).select("op_id", "s.field", "s.start", "s.end", "s.type", "s.token")
+
+
+@query("WITH " + O.OPAQUE + O.SPLICED + "SELECT op_id, max(text) FILTER (field = 'task') AS task, max(text) FILTER (field = 'text') AS text FROM sanitized GROUP BY op_id")
+def redact_opaque(spark, sf_dir):
+    s = F.col("sanitized")
+    return _redacted(spark, sf_dir).select("op_id", _text(s, 1).alias("task"), _text(s, 2).alias("text"))
+
+
+@query("WITH " + O.TYPED + O.SPLICED + "SELECT op_id, max(text) FILTER (field = 'task') AS task, max(text) FILTER (field = 'text') AS text FROM sanitized GROUP BY op_id")
+def redact_typed(spark, sf_dir):
+    s = F.col("sanitized")
+    return _redacted(spark, sf_dir, typed=True).select("op_id", _text(s, 1).alias("task"), _text(s, 2).alias("text"))
+
+
+@query("WITH " + O.TYPED + "SELECT DISTINCT op_id, token, value FROM tokened")
+def mapping_table(spark, sf_dir):
+    return _redacted(spark, sf_dir, typed=True).select("op_id", F.explode("mapping").alias("token", "value"))
+
+
+@query("WITH " + O.BASE + "SELECT op_id, type, count(DISTINCT value) AS n FROM spans GROUP BY op_id, type")
+def entity_counts(spark, sf_dir):
+    return _redacted(spark, sf_dir).select("op_id", F.explode(redact.counts(F.col("spans"))).alias("c")).select("op_id", "c.type", F.col("c.n").cast("long").alias("n"))
+
+
+@query("WITH ops AS (" + C.OPS + f""") SELECT op_id, CASE WHEN op_id % 4 = 0 THEN 'empty_input' WHEN op_id % 4 = 1 THEN 'reserved_token_in_input' END AS code FROM ops""")
+def reserved_prefix(spark, sf_dir):
+    text = F.when(F.col("op_id") % 4 == 0, F.lit(" \t ")).when(F.col("op_id") % 4 == 1, F.concat(F.col("text"), F.lit(" __pii_x"))).otherwise(F.col("text"))
+    return C.ops(spark, sf_dir).select("op_id", redact.input_code(redact.fields_of(("text", text))).alias("code"))
+
+
+@query("SELECT o_orderkey AS op_id, CASE WHEN o_orderkey % 4 = 0 THEN 'unknown_field' WHEN o_orderkey % 4 = 1 THEN 'invalid_span' WHEN o_orderkey % 4 = 2 THEN 'overlapping_spans' END AS code FROM orders")
+def span_validation(spark, sf_dir):
+    def span(field: Column, start: Column, end: Column) -> Column:
+        return F.struct(field.alias("field"), start.alias("start"), end.alias("end"))
+
+    k = F.col("op_id") % 4
+    found = F.array(span(F.when(k == 0, F.lit("other")).otherwise(F.lit("text")), F.lit(0), F.when(k == 1, F.lit(100000)).otherwise(F.lit(5))), span(F.lit("text"), F.when(k == 2, F.lit(3)).otherwise(F.lit(5)), F.lit(9)))
+    return C.ops(spark, sf_dir).select("op_id", redact.span_error(F.col("fields"), found).alias("code"))
+
+
+@query(f"SELECT o_orderkey AS op_id, upper(left(sha256(concat('{C.SALT}', o_orderkey)), 32)) AS nonce, false AS bad FROM orders")
+def nonces(spark, sf_dir):
+    nonce = S.derived_nonce(C.SALT, F.col("op_id"))
+    return C.ops(spark, sf_dir).select("op_id", nonce.alias("nonce"), redact.bad_nonce(nonce).alias("bad"))
+
+
+# Gate, trust, audit ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH " + O.OPAQUE + f""",
+n AS (SELECT op_id, count(*) AS n FROM tokened GROUP BY op_id)
+SELECT o.op_id, concat_ws('; ',
+  CASE WHEN o.op_id % 6 = 0 THEN 'Unknown reserved token in text' END, CASE WHEN o.op_id % 6 IN (0, 1) THEN 'Malformed reserved token in text' END,
+  CASE WHEN o.op_id % 6 = 2 THEN 'Residual high-confidence sensitive data in text: EMAIL:1' END) AS reasons
+FROM ops AS o JOIN n ON o.op_id = n.op_id"""
+)
+def gate_reasons(spark, sf_dir):
+    """Reasons after sanitized texts have been tampered with: a foreign token, a broken one, an address."""
+    k = F.col("op_id") % 6
+    extra = F.when(k == 0, F.lit(" __PII_ABCDEFABCDEFABCD_0001__")).when(k == 1, F.lit(" __pii_ tail")).when(k == 2, F.lit(" left@over.example")).otherwise(F.lit(""))
+    tampered = F.array(F.element_at("sanitized", 1), F.struct(F.lit("text").alias("field"), F.concat(_text(F.col("sanitized"), 2), extra).alias("text")))
+    return _redacted(spark, sf_dir).select("op_id", F.array_join(gate.reasons(tampered, F.col("mapping")), "; ").alias("reasons"))
+
+
+@query("SELECT doc_id, n_found = 0 AS blocked FROM (SELECT d.doc_id, count(e.value) AS n_found FROM documents AS d LEFT JOIN (" + O.entities("documents", "doc_id", kinds=("EMAIL", "CARD", "PHONE")) + ") AS e ON d.doc_id = e.doc_id GROUP BY d.doc_id)")
+def gate_documents(spark, sf_dir):
+    """Documents of which nothing was replaced are blocked until a person has looked."""
+    done = flagship(spark, sf_dir)
+    return done.select("doc_id", F.contains("reasons", F.lit(gate.NOTHING_FOUND)).alias("blocked"))
+
+
+@query(f"WITH ops AS ({C.OPS}) SELECT op_id, {O.trust('concat(task, chr(10), text)')} AS warnings FROM ops")
+def trust_warnings(spark, sf_dir):
+    return C.ops(spark, sf_dir).select("op_id", F.array_join(gate.warnings(F.col("fields")), ",").alias("warnings"))
+
+
+@query(f"SELECT conv_id, turn, {O.trust('text')} AS warnings FROM conversations")
+def trust_conversations(spark, sf_dir):
+    return C.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(gate.warnings(redact.fields_of(("text", F.col("text")))), ",").alias("warnings"))
+
+
+@query(
+    "WITH " + O.OPAQUE + O.SPLICED + f"""SELECT op_id, '{O.HEAD}' || max(text) FILTER (field = 'task') || chr(10) || '</task>' AS instructions, max(text) FILTER (field = 'text') AS input_text FROM sanitized GROUP BY op_id"""
+)
+def outbound_payload(spark, sf_dir):
+    s = F.col("sanitized")
+    return _redacted(spark, sf_dir).select("op_id", gate.outbound(_text(s, 1), _text(s, 2)).alias("o")).select("op_id", "o.instructions", "o.input_text")
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations with what went out and a made-up answer: all tokens, or all but one, one twice, or a forged one."""
+    s, m = F.col("sanitized"), F.map_keys("mapping")
+    sent = _redacted(spark, sf_dir).withColumn("sent", gate.outbound(_text(s, 1), _text(s, 2)))
+    k = F.col("op_id") % 9
+    own = F.array_sort(m)
+    tail = F.when(k == 1, F.lit(" __PII_00000000_0001__")).when(k == 2, F.concat(F.lit(" "), F.element_at(own, 1))).otherwise(F.lit(""))
+    kept = F.when(k == 3, F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))).otherwise(own)
+    answered = sent.withColumn("answer", F.concat(F.lit("Done: "), F.array_join(kept, " "), tail))
+    return answered.withColumn("limits", gate.token_limits(F.col("sent"), F.col("mapping")))
+
+
+_TOKENS = "WITH " + O.OPAQUE + ", per_op AS (SELECT op_id, list(token ORDER BY token) AS t, list(value ORDER BY token) AS v FROM tokened GROUP BY op_id)"
+
+
+@query("WITH " + O.OPAQUE + "SELECT op_id, token, 1 AS n FROM tokened")
+def token_limits(spark, sf_dir):
+    return _answered(spark, sf_dir).select("op_id", F.explode("limits").alias("token", "n"))
+
+
+@query(_TOKENS + " SELECT op_id, CASE WHEN op_id % 9 = 1 THEN 'unknown_token' WHEN op_id % 9 = 2 THEN 'token_limit_exceeded' END AS error, CASE WHEN op_id % 9 = 3 THEN t[1] ELSE '' END AS omitted FROM per_op")
+def token_audit(spark, sf_dir):
+    made = _answered(spark, sf_dir).withColumn("a", gate.audit(F.col("answer"), F.col("mapping"), F.col("limits")))
+    return made.select("op_id", F.col("a.error").alias("error"), F.array_join("a.omitted", ",").alias("omitted"))
+
+
+@query(_TOKENS + " SELECT op_id, 'Done: ' || array_to_string(CASE WHEN op_id % 9 = 3 THEN v[2:] ELSE v END, ' ') AS restored FROM per_op WHERE op_id % 9 NOT IN (1, 2)")
+def restore_answers(spark, sf_dir):
+    made = _answered(spark, sf_dir).withColumn("a", gate.audit(F.col("answer"), F.col("mapping"), F.col("limits"))).where("a.error is null")
+    return made.select("op_id", gate.restore(F.col("answer"), F.col("mapping")).alias("restored"))
+
+
+@query(f"WITH ops AS ({C.OPS}) SELECT op_id, task, text FROM ops")
+def restore_roundtrip(spark, sf_dir):
+    """Sanitized fields restored from the mapping are the input."""
+    s, m = F.col("sanitized"), F.col("mapping")
+    return _redacted(spark, sf_dir).select("op_id", gate.restore(_text(s, 1), m).alias("task"), gate.restore(_text(s, 2), m).alias("text"))
+
+
+# Admission ---------------------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '^\s*$') THEN 'no_text' WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) > 20000 THEN 'text_too_long' END AS reason, length(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) AS text_characters FROM documents")
+def admission_reasons(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", admission.text_reason(F.col("text")).alias("reason"), F.length(S.strip(F.col("text"))).cast("long").alias("text_characters"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'unsupported_type' WHEN 1 THEN 'empty_file' WHEN 2 THEN 'file_too_large' END AS reason FROM part")
+def admission_files(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    path = F.concat(F.lit("/in/"), "p_name", F.when(k == 0, F.lit(".exe")).when(k == 3, F.lit(".MD")).otherwise(F.lit(".docx")))
+    size = F.when(k == 1, F.lit(0)).when(k == 2, F.lit(P.MAX_FILE_BYTES + 1)).otherwise(F.lit(10))
+    return C.table(spark, sf_dir, "part").select("p_partkey", admission.file_reason(path, size).alias("reason"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'text_bounds' WHEN 1 THEN 'task_bounds' WHEN 2 THEN 'unsupported_model' END AS reason FROM customer")
+def admission_requests(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    text = F.when(k == 0, F.lit("")).otherwise(F.col("c_name"))
+    task = F.when(k == 1, F.repeat(F.lit("x"), P.MAX_TASK + 1)).otherwise(F.lit("Sum up"))
+    model = F.when(k == 2, F.lit("other")).otherwise(admission.model_of(F.lit("both")))
+    return C.table(spark, sf_dir, "customer").select("c_custkey", admission.request_reason(text, task, model).alias("reason"))
+
+
+# Review and lifecycle ----------------------------------------------------------------------------------------------------------
+
+
+def _span(kind: str, start: int, end: int) -> Column:
+    return F.struct(F.lit("text").alias("field"), F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(kind).alias("type"))
+
+
+@query(
+    """SELECT o_orderkey AS op_id, CASE WHEN o_orderkey % 4 = 3 THEN 'span_not_found' END AS error,
+    CASE o_orderkey % 4 WHEN 0 THEN '0-5:EMAIL' WHEN 1 THEN '0-5:EMAIL,8-12:PHONE,20-25:PERSON' WHEN 2 THEN '0-5:EMAIL,8-12:CARD' ELSE '0-5:EMAIL,8-12:PHONE' END AS spans FROM orders"""
+)
+def review_edits_fold(spark, sf_dir):
+    def edit(action: str, start: int, end: int, kind: str) -> Column:
+        return F.array(F.struct(F.lit(action).alias("action"), F.lit("text").alias("field"), F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(kind).alias("type")))
+
+    k = F.col("op_id") % 4
+    edits = F.when(k == 0, edit("remove", 8, 12, "PHONE")).when(k == 1, edit("add", 20, 25, "PERSON")).when(k == 2, edit("retag", 8, 12, "CARD")).otherwise(edit("remove", 9, 12, "PHONE"))
+    made = C.ops(spark, sf_dir).select("op_id", lifecycle.review(F.array(_span("EMAIL", 0, 5), _span("PHONE", 8, 12)), edits).alias("r"))
+    shown = F.transform("r.spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"], F.lit(":"), s["type"]))
+    return made.select("op_id", F.col("r.error").alias("error"), F.array_join(shown, ",").alias("spans"))
+
+
+_STEPS = ("create", "review", "authorize", "complete", "delete")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifecycle events from the events table: users are operations, minutes of a common clock are seconds, actions follow from ids."""
+    e = C.table(spark, sf_dir, "events")
+    action = F.element_at(F.array(*[F.lit(a) for a in (*_STEPS, "create", "authorize", "complete")]), (F.col("event_id") % 8 + 1).cast("int"))
+    at = F.expr("CAST(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) % 86400 / 60 AS DOUBLE)")
+    return e.select(
+        F.col("user_id").alias("op_id"), at.alias("at"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") % 3).cast("int").alias("revision"),
+        (F.col("event_id") % 2 == 0).alias("acknowledge"), (F.col("event_id") % 29 == 0).alias("blocked"), (F.col("user_id") % 5 == 0).alias("warned"),
+    )
+
+
+_EVENTS_SQL = """events_ AS (
+  SELECT user_id AS op_id, (floor(epoch(ts))::BIGINT % 86400 / 60)::DOUBLE AS at_, event_id AS seq,
+    (['create', 'review', 'authorize', 'complete', 'delete', 'create', 'authorize', 'complete'])[event_id % 8 + 1] AS action, (event_id % 3)::INTEGER AS revision,
+    event_id % 2 = 0 AS acknowledge, event_id % 29 = 0 AS blocked, user_id % 5 = 0 AS warned FROM events),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY op_id ORDER BY at_, seq) AS n FROM events_)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_EVENTS_SQL},
+run AS (
+  SELECT op_id, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::INTEGER AS revision, NULL::INTEGER AS authorized, NULL::DOUBLE AS expires, ''::VARCHAR AS outcome FROM (SELECT DISTINCT op_id FROM events_)
+  UNION ALL
+  SELECT op_id, n,
+    CASE WHEN action = 'create' OR (alive AND action = 'review') THEN CASE WHEN blocked THEN 'BLOCKED' ELSE 'READY_FOR_REVIEW' END WHEN NOT alive OR action = 'delete' THEN NULL
+      WHEN outcome = 'operation_authorized' THEN 'AUTHORIZED' WHEN action = 'complete' AND outcome IN ('completed', 'gate_blocked') THEN NULL ELSE status END,
+    CASE WHEN action = 'create' THEN 0 WHEN action = 'review' THEN revision + 1 ELSE revision END,
+    CASE WHEN action IN ('create', 'review') THEN NULL WHEN outcome = 'operation_authorized' THEN revision ELSE authorized END,
+    CASE WHEN action = 'create' THEN at_ + 600 ELSE expires END, outcome
+  FROM (
+    SELECT *, CASE WHEN action = 'create' THEN CASE WHEN blocked THEN 'operation_blocked' ELSE 'operation_created' END
+      WHEN NOT alive THEN CASE WHEN action = 'delete' THEN 'not_deleted' ELSE 'operation_not_found' END
+      WHEN action = 'delete' THEN 'deleted'
+      WHEN action = 'review' THEN CASE WHEN blocked THEN 'redaction_review_blocked' ELSE 'redactions_reviewed' END
+      WHEN status = 'BLOCKED' THEN 'gate_blocked'
+      WHEN action = 'authorize' THEN CASE WHEN asked <> revision THEN 'revision_mismatch' WHEN warned AND NOT acknowledge THEN 'acknowledgement_required' ELSE 'operation_authorized' END
+      WHEN status = 'AUTHORIZED' AND authorized = revision THEN 'completed' ELSE 'authorization_required' END AS outcome
+    FROM (
+      SELECT r.op_id, e.n, r.status, r.revision, r.authorized, r.expires, e.at_, e.action, e.revision AS asked, e.acknowledge, e.blocked, e.warned,
+        r.status IS NOT NULL AND r.expires > e.at_ AS alive
+      FROM run AS r JOIN ordered AS e ON e.op_id = r.op_id AND e.n = r.n + 1)))
+SELECT op_id, last(status ORDER BY n) AS status, last(revision ORDER BY n) AS revision, last(authorized ORDER BY n) AS authorized_revision,
+  string_agg(outcome, ',' ORDER BY n) FILTER (n > 0) AS outcomes FROM run GROUP BY op_id"""
+)
+def lifecycle_fold(spark, sf_dir):
+    return lifecycle.fold(_events(spark, sf_dir)).withColumn("outcomes", F.array_join("outcomes", ","))
+
+
+@query(f"WITH {_EVENTS_SQL}, c AS (SELECT seq AS op_id, at_ FROM events_ WHERE action = 'create') SELECT op_id, live, live > 100 AS refused FROM (SELECT op_id, count(*) OVER (ORDER BY floor(at_ * 1000)::BIGINT RANGE BETWEEN 599999 PRECEDING AND CURRENT ROW) AS live FROM c)")
+def store_capacity(spark, sf_dir):
+    made = _events(spark, sf_dir).where("action = 'create'").select(F.col("seq").alias("op_id"), "at")
+    return lifecycle.beyond_capacity(made).select("op_id", "live", "refused")
+
+
+@query("SELECT doc_id, sha256(text) AS source_hash FROM documents")
+def source_hash(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", S.source_hash(F.col("text")).alias("source_hash"))
+
+
+@query(f"SELECT c_custkey, {O.hmac(KEY, "concat('source:', c_name)")} AS fingerprint FROM customer")
+def hmac_fingerprint(spark, sf_dir):
+    return C.table(spark, sf_dir, "customer").select("c_custkey", receipts.fingerprint(KEY, "source", F.col("c_name")).alias("fingerprint"))
+
+
+@query("WITH " + O.BASE + "SELECT op_id, true AS valid, false AS valid_if_changed, false AS valid_with_other_key FROM ops")
+def receipt_rows(spark, sf_dir):
+    """Receipts verify, and don't once they are changed or read with another key."""
+    named = _redacted(spark, sf_dir).withColumn("entity_counts", redact.counts(F.col("spans"))).withColumn("security_warnings", gate.warnings(F.col("fields")))
+    fixed = {"issued_at_unix": 1_700_000_000, "model": "rules", "token_mode": "opaque", "status": "AUTHORIZED", "review_revision": 1, "review_channel": "local", "authorized_revision": 1, "authorization_channel": "local", "acknowledged_warnings": False}
+    ops = named.withColumns({n: F.lit(v) for n, v in fixed.items()}).withColumn("detector_warnings", F.array().cast("array<string>"))
+    made = receipts.signed(ops, KEY)
+    r, s = F.col("receipt"), F.col("signature")
+    return made.select("op_id", receipts.verified(r, s, KEY).alias("valid"), receipts.verified(F.replace(r, F.lit("AUTHORIZED"), F.lit("BLOCKED")), s, KEY).alias("valid_if_changed"), receipts.verified(r, s, KEY[::-1]).alias("valid_with_other_key"))
+
+
+# Evaluation --------------------------------------------------------------------------------------------------------------------
+
+
+def _actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detect.with_entities(C.ops(spark, sf_dir).withColumnRenamed("op_id", "case_id"), sure_usual=True)
+    return detect.exploded(rows, "case_id")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.marked(C.expected(spark, sf_dir), _actual(spark, sf_dir))
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    language = F.when(F.col("kind") == 0, F.lit("en")).when(F.col("kind") == 1, F.lit("ru"))
+    return C.ops(spark, sf_dir).select(F.col("op_id").alias("case_id"), language.alias("language"), F.when(F.col("op_id") % 17 == 0, F.lit("prompt-injection")).alias("category"), "text")
+
+
+@query(f"WITH {O.PAIRS} SELECT {O.METRICS} FROM (SELECT {O.SUMS} FROM pairs)")
+def score_overall(spark, sf_dir):
+    return evaluate.overall(_pairs(spark, sf_dir))
+
+
+@query(f"WITH {O.PAIRS} SELECT {O.METRICS} FROM (SELECT t.type, {O.SUMS} FROM {O.TYPES} AS t LEFT JOIN pairs AS p ON p.type = t.type GROUP BY t.type)")
+def score_per_type(spark, sf_dir):
+    return evaluate.per_type(_pairs(spark, sf_dir))
+
+
+_BY_LANGUAGE = f"WITH {O.PAIRS}, j AS (SELECT p.*, {C.LANGUAGE} AS language FROM pairs AS p JOIN ops AS o ON o.op_id = p.case_id)"
+
+
+@query(f"{_BY_LANGUAGE}, s AS (SELECT language, {O.SUMS} FROM j GROUP BY language) SELECT language, expected, true_positives, {O.ratio('true_positives', 'expected')} AS recall FROM s WHERE expected > 0")
+def score_per_language(spark, sf_dir):
+    return evaluate.per_language(_pairs(spark, sf_dir), _cases(spark, sf_dir))
+
+
+@query(f"{_BY_LANGUAGE} SELECT {O.METRICS} FROM (SELECT type, language, {O.SUMS}, grouping(type, language) AS grouping_id FROM j GROUP BY GROUPING SETS ((), (type), (language)))")
+def score_grouping_sets(spark, sf_dir):
+    return evaluate.grouped(_pairs(spark, sf_dir), _cases(spark, sf_dir))
+
+
+@query(f"WITH {O.ACTUAL} SELECT * FROM expected EXCEPT SELECT * FROM actual")
+def values_left(spark, sf_dir):
+    return evaluate.values_left(C.expected(spark, sf_dir), _actual(spark, sf_dir))
+
+
+@query(f"WITH {O.ACTUAL} SELECT case_id, value FROM actual EXCEPT SELECT case_id, value FROM expected")
+def extra_values(spark, sf_dir):
+    return evaluate.extra_values(C.expected(spark, sf_dir), _actual(spark, sf_dir))
+
+
+@query(f"WITH {O.ACTUAL} SELECT case_id, value, type FROM actual UNION SELECT case_id, value, type FROM expected WHERE type = 'PERSON'")
+def pairs_union(spark, sf_dir):
+    """Union of two detectors' pairs; a value under two types stays twice."""
+    people = C.expected(spark, sf_dir).where("type = 'PERSON'")
+    return _actual(spark, sf_dir).select("case_id", "value", "type").union(people.select("case_id", "value", "type")).distinct()
+
+
+@query(f"WITH {O.ACTUAL} SELECT case_id, value, type FROM actual INTERSECT SELECT case_id, value, type FROM expected")
+def pairs_intersect(spark, sf_dir):
+    return _actual(spark, sf_dir).select("case_id", "value", "type").intersect(C.expected(spark, sf_dir).select("case_id", "value", "type"))
+
+
+@query(
+    f"""WITH {O.PAIRS}, by_case AS (SELECT o.op_id, coalesce(sum(e), 0) AS e, coalesce(sum(a), 0) AS a, coalesce(sum(h), 0) AS h FROM ops AS o LEFT JOIN pairs AS p ON p.case_id = o.op_id GROUP BY o.op_id),
+s AS (SELECT sum(e)::BIGINT AS expected_values, sum(h)::BIGINT AS found_values, sum(a)::BIGINT AS predicted_values, count_if(e > 0)::BIGINT AS documents_with_entities, count_if(e > 0 AND e = h)::BIGINT AS documents_fully_covered, sum(e - h)::BIGINT AS values_left FROM by_case)
+SELECT *, coalesce({O.ratio("found_values", "expected_values")}, 0.0) AS recall, coalesce({O.ratio("found_values", "predicted_values")}, 0.0) AS "precision" FROM s"""
+)
+def fully_covered(spark, sf_dir):
+    return evaluate.covered(_pairs(spark, sf_dir), _cases(spark, sf_dir))
+
+
+@query(f"WITH {O.PAIRS} SELECT type, expected, true_positives, {O.wilson('true_positives', 'expected', True)} AS wilson_low, {O.wilson('true_positives', 'expected', False)} AS wilson_high FROM (SELECT type, {O.SUMS} FROM pairs GROUP BY type) WHERE expected > 0")
+def wilson_interval(spark, sf_dir):
+    sums = evaluate.per_type(_pairs(spark, sf_dir)).where("expected > 0")
+    return evaluate.with_wilson(sums).select("type", "expected", "true_positives", "wilson_low", "wilson_high")
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with a status: codes and leaks are made from the key."""
+    k = F.col("case_id") % 10
+    by_case = _pairs(spark, sf_dir).groupBy("case_id").agg(F.sum("is_expected").alias("expected"), F.sum("is_actual").alias("predicted"))
+    none, some = F.array().cast("array<string>"), F.array(F.lit("x"))
+    status = evaluate.status(F.when(k == 1, F.lit("unavailable")).when(k == 2, F.lit("non_exact_substring")), F.when(k.isin(2, 3), some).otherwise(none), F.when(k.isin(3, 4), F.lit("semantic_detector_http_error")), F.when(k.isin(4, 5), 1).otherwise(0))
+    return _cases(spark, sf_dir).join(by_case, "case_id", "left").na.fill(0, ["expected", "predicted"]).withColumns({"status": status, "seconds": (F.col("case_id") % 997) / F.lit(1000.0)})
+
+
+_STATUS = f"""WITH {O.PAIRS}, by_case AS (SELECT case_id, sum(e) AS expected, sum(a) AS predicted FROM pairs GROUP BY case_id),
+cases AS (SELECT o.op_id, coalesce(expected, 0) AS expected, coalesce(predicted, 0) AS predicted, CASE WHEN o.op_id % 17 = 0 THEN 'prompt-injection' ELSE 'standard' END AS category, (o.op_id % 997) / 1000.0::DOUBLE AS seconds,
+  CASE o.op_id % 10 WHEN 1 THEN 'blocked:unavailable' WHEN 2 THEN 'blocked:non_exact_substring' WHEN 3 THEN 'blocked:GateBlocked' WHEN 4 THEN 'blocked:semantic_detector_http_error' WHEN 5 THEN 'blocked:fixture_oracle' ELSE 'passed' END AS status
+  FROM ops AS o LEFT JOIN by_case AS b ON b.case_id = o.op_id)"""
+
+
+@query(
+    _STATUS
+    + """ SELECT count(*) AS cases, count_if(status IN ('passed', 'blocked:fixture_oracle'))::BIGINT AS runtime_gate_passes, count_if(status = 'blocked:GateBlocked')::BIGINT AS runtime_gate_blocks,
+  count_if(status LIKE 'blocked:%' AND status NOT IN ('blocked:GateBlocked', 'blocked:fixture_oracle'))::BIGINT AS detection_failures, count_if(status = 'passed')::BIGINT AS fixture_oracle_passes,
+  count_if(status = 'blocked:fixture_oracle')::BIGINT AS known_control_leak_cases, count_if(expected = 0)::BIGINT AS clean_cases, count_if(expected = 0 AND predicted = 0)::BIGINT AS clean_cases_without_detections, count_if(category <> 'standard')::BIGINT AS adversarial_cases FROM cases"""
+)
+def case_counters(spark, sf_dir):
+    return evaluate.case_counters(_status(spark, sf_dir))
+
+
+@query(_STATUS + " SELECT CASE op_id % 10 WHEN 1 THEN 'unavailable' WHEN 2 THEN 'non_exact_substring' ELSE 'http_error' END AS code, count(*) AS n FROM cases WHERE op_id % 10 IN (1, 2, 4) GROUP BY ALL")
+def failures_by_code(spark, sf_dir):
+    return evaluate.failures_by_code(_status(spark, sf_dir))
+
+
+@query(_STATUS + " SELECT round_even(median(seconds), 3) AS latency_median_seconds, round_even(max(seconds), 3) AS latency_max_seconds FROM cases")
+def latency_median(spark, sf_dir):
+    return evaluate.latencies(_status(spark, sf_dir))
+
+
+_ID = f"left({O.hmac(C.SALT.encode(), 'CAST(op_id AS VARCHAR)')}, 16)"
+
+
+@query(f"WITH ops AS ({C.OPS}) SELECT {_ID} AS item_id, {C.LANGUAGE} AS language, text, sha256(concat('{C.SALT}', {_ID})) AS shuffle_key FROM ops")
+def blind_ids(spark, sf_dir):
+    return review.blind_items(_cases(spark, sf_dir), C.SALT)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items, and label rows with all kinds of faults."""
+    items = _cases(spark, sf_dir).select(F.col("case_id").cast("string").alias("item_id"), "language", "text", "case_id")
+    k = F.col("case_id") % 7
+    entity = F.struct(F.when(k == 1, F.lit("absent")).otherwise(F.lit("Agreement")).alias("value"), F.when(k == 2, F.lit("NAME")).otherwise(F.lit("ORG")).alias("type"))
+    rows = items.where(k != 3).select(F.when(k == 4, F.concat(F.lit("x"), "item_id")).otherwise(F.col("item_id")).alias("item_id"), F.when(k == 5, F.lit(None)).otherwise(F.array(entity)).alias("entities"), "case_id")
+    again = rows.where(F.col("case_id") % 70 == 0)
+    return items.drop("case_id"), rows.union(again).drop("case_id")
+
+
+@query(
+    """SELECT * FROM (SELECT CASE WHEN o_orderkey % 7 = 4 THEN 'x' ELSE '' END || o_orderkey AS item_id, CASE o_orderkey % 7 WHEN 1 THEN 'not_a_substring' WHEN 2 THEN 'unknown_type' WHEN 3 THEN 'missing_item' WHEN 4 THEN 'unknown_item' WHEN 5 THEN 'entities_not_a_list' END AS reason FROM orders)
+    WHERE reason IS NOT NULL UNION ALL SELECT o_orderkey::VARCHAR, 'missing_item' FROM orders WHERE o_orderkey % 7 = 4 UNION ALL SELECT o_orderkey::VARCHAR, 'duplicate_label' FROM orders WHERE o_orderkey % 70 = 0"""
+)
+def label_validation(spark, sf_dir):
+    return review.violations(*_labels(spark, sf_dir))
+
+
+@query("SELECT o_orderkey::VARCHAR AS item_id FROM orders WHERE o_orderkey % 7 IN (3, 4)")
+def missing_items(spark, sf_dir):
+    items, rows = _labels(spark, sf_dir)
+    return items.join(rows, "item_id", "left_anti").select("item_id")
+
+
+def _review_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    items = _cases(spark, sf_dir).select(F.col("case_id").cast("string").alias("item_id"), "text")
+    listed = lambda pairs: pairs.select(F.col("case_id").cast("string").alias("item_id"), F.struct("value", "type").alias("e")).groupBy("item_id").agg(F.collect_list("e").alias("entities"))
+    return items, listed(C.expected(spark, sf_dir)), listed(_actual(spark, sf_dir))
+
+
+@query(f"WITH {O.PAIRS} SELECT {O.METRICS}, {O.wilson('true_positives', 'expected', True)} AS wilson_low, {O.wilson('true_positives', 'expected', False)} AS wilson_high FROM (SELECT {O.SUMS} FROM pairs)")
+def review_score(spark, sf_dir):
+    _, human, predicted = _review_rows(spark, sf_dir)
+    return review.score(human, predicted)
+
+
+@query(f"WITH {O.PAIRS} SELECT o.op_id::VARCHAR AS item_id, {O.SUMS} FROM ops AS o LEFT JOIN pairs AS p ON p.case_id = o.op_id GROUP BY o.op_id")
+def review_case_scores(spark, sf_dir):
+    return review.case_scores(*_review_rows(spark, sf_dir))
