@@ -33,12 +33,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    done = df.checkpoint(eager=True)
-    del df
-    # What led here is held no longer, so its shuffle files can go before the next step needs room.
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of frames that are held no longer, before the next step needs room."""
     gc.collect()
-    context._jvm.System.gc()
-    return done
+    spark.sparkContext._jvm.System.gc()
 
 
 def words_of(text: str | None) -> list[bytes]:

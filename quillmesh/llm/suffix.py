@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import checkpoint, pack, partitions, unpack
+from quillmesh.llm.common import checkpoint, pack, partitions, release, unpack
 
 LENGTH, WINDOW = 100, 60
 CONTEXT = LENGTH - WINDOW + 1
@@ -477,6 +477,7 @@ def _marked(docs: DataFrame, rest: Column | None = None) -> DataFrame:
     local = seen.select("shard", "docs", "blob", "found").mapInArrow(_local(FINER * n), SCHEMA)
     del seen
     local = checkpoint(local)
+    release(spark)
     marks = local.where("bucket < 0").select("shard", "blob").union(dealt(local, _merge).select("shard", "blob"))
     return with_found(marks).select("docs", "blob", "found")
 
