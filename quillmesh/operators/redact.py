@@ -140,21 +140,29 @@ def counts(found: Column) -> Column:
     return F.transform(kinds, lambda t: F.struct(t.alias("type"), F.size(F.filter(used, lambda e: e["type"] == t)).alias("n")))
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns computed once, here: later steps refer to their values instead of repeating their expressions."""
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.explode(F.array(F.struct(*names))).alias("_s")).select(*others, *[F.col(f"_s.{n}").alias(n) for n in names])
+
+
 def redact(df: DataFrame, nonce: Column, typed: bool = False) -> DataFrame:
     """df (with fields and entities) with error, spans (with tokens), sanitized fields and mapping.
 
     error is why the operation fails; such rows get no spans. The columns are made one after the other, so that no step is evaluated twice.
     """
-    coded = df.withColumn("_accepted", accepted(F.col("entities")))
+    coded = settled(settled(df, "fields", "entities").withColumn("_accepted", accepted(F.col("entities"))), "_accepted")
     code = input_code(F.col("fields"))
     coded = coded.withColumn("error", F.coalesce(code, F.when(foreign(F.col("fields"), F.col("_accepted")), F.lit("non_exact_substring"))))
-    return redact_spans(coded.withColumn("spans", F.when(F.col("error").isNull(), spans(F.col("fields"), F.col("_accepted"))).otherwise(F.array().cast(SPANS))).drop("_accepted"), nonce, typed)
+    coded = settled(coded, "error")
+    spanned = coded.withColumn("spans", F.when(F.col("error").isNull(), spans(F.col("fields"), F.col("_accepted"))).otherwise(F.array().cast(SPANS)))
+    return redact_spans(settled(spanned.drop("_accepted"), "spans"), nonce, typed)
 
 
 def redact_spans(df: DataFrame, nonce: Column, typed: bool = False) -> DataFrame:
     """df (with fields and spans) with tokens in the spans, sanitized fields and mapping."""
-    named = df.withColumn("spans", tokens(F.col("spans"), nonce, typed))
-    return named.withColumns({"sanitized": spliced(F.col("fields"), F.col("spans")), "mapping": mapping(F.col("spans"))})
+    named = settled(df.withColumn("spans", tokens(F.col("spans"), nonce, typed)), "spans")
+    return settled(named.withColumns({"sanitized": spliced(F.col("fields"), F.col("spans")), "mapping": mapping(F.col("spans"))}), "sanitized", "mapping")
 
 
 def span_error(fields: Column, found: Column) -> Column:

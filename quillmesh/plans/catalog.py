@@ -58,7 +58,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by tokens, and the gate's verdict on each."""
     docs = detect.with_entities(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     done = redact.redact(docs.withColumn("fields", redact.fields_of(("text", F.col("text")))), S.derived_nonce(C.SALT, F.col("doc_id")))
-    out = done.withColumn("reasons", gate.reasons(F.col("sanitized"), F.col("mapping")))
+    out = redact.settled(done.withColumn("reasons", gate.reasons(F.col("sanitized"), F.col("mapping"))), "reasons")
     status = F.when(F.col("error").isNotNull(), F.col("error")).when(F.size("reasons") > 0, F.lit("BLOCKED")).otherwise(F.lit("READY_FOR_REVIEW"))
     return out.select("doc_id", status.alias("status"), _text(F.col("sanitized"), 1).alias("sanitized_text"), F.size("mapping").alias("n_tokens"), F.array_join("reasons", "; ").alias("reasons"))
 
@@ -347,7 +347,11 @@ def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(k == 1, F.lit(" __PII_00000000_0001__")).when(k == 2, F.concat(F.lit(" "), F.element_at(own, 1))).otherwise(F.lit(""))
     kept = F.when(k == 3, F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))).otherwise(own)
     answered = sent.withColumn("answer", F.concat(F.lit("Done: "), F.array_join(kept, " "), tail))
-    return answered.withColumn("limits", gate.token_limits(F.col("sent"), F.col("mapping")))
+    return redact.settled(answered.withColumn("limits", gate.token_limits(F.col("sent"), F.col("mapping"))), "answer", "limits")
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact.settled(_answered(spark, sf_dir).withColumn("a", gate.audit(F.col("answer"), F.col("mapping"), F.col("limits"))), "a")
 
 
 _TOKENS = "WITH " + O.OPAQUE + ", per_op AS (SELECT op_id, list(token ORDER BY token) AS t, list(value ORDER BY token) AS v FROM tokened GROUP BY op_id)"
@@ -360,13 +364,13 @@ def token_limits(spark, sf_dir):
 
 @query(_TOKENS + " SELECT op_id, CASE WHEN op_id % 9 = 1 THEN 'unknown_token' WHEN op_id % 9 = 2 THEN 'token_limit_exceeded' END AS error, CASE WHEN op_id % 9 = 3 THEN t[1] ELSE '' END AS omitted FROM per_op")
 def token_audit(spark, sf_dir):
-    made = _answered(spark, sf_dir).withColumn("a", gate.audit(F.col("answer"), F.col("mapping"), F.col("limits")))
+    made = _audited(spark, sf_dir)
     return made.select("op_id", F.col("a.error").alias("error"), F.array_join("a.omitted", ",").alias("omitted"))
 
 
 @query(_TOKENS + " SELECT op_id, 'Done: ' || array_to_string(CASE WHEN op_id % 9 = 3 THEN v[2:] ELSE v END, ' ') AS restored FROM per_op WHERE op_id % 9 NOT IN (1, 2)")
 def restore_answers(spark, sf_dir):
-    made = _answered(spark, sf_dir).withColumn("a", gate.audit(F.col("answer"), F.col("mapping"), F.col("limits"))).where("a.error is null")
+    made = _audited(spark, sf_dir).where("a.error is null")
     return made.select("op_id", gate.restore(F.col("answer"), F.col("mapping")).alias("restored"))
 
 
