@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -36,12 +35,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of frames that are held no longer, before the next step needs room."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words of a text as UTF-8."""
     return text.encode().lower().split() if text else []
