@@ -10,7 +10,7 @@ from quillmesh.plans import corpus as C
 RE2 = {
     "EMAIL": (r"[\p{L}\p{N}_.+-]+\s*@\s*[\p{L}\p{N}_-]+(?:\s*\.\s*[\p{L}\p{N}_-]+)+", 0),
     "API_KEY": (r"\b(?:sk-[\w-]{12,}|gh[pousr]_[\w]{20,}|AKIA[0-9A-Z]{16})\b", 0),
-    "CARD": (r"[0-9](?:[\s-]?[0-9]){12,18}", 0),
+    "CARD": (r"(?:^|[^0-9])([0-9](?:[\s-]?[0-9]){12,18})(?:[^0-9]|$)", 1),
     "PHONE": (r"\+?[0-9][0-9\s().-]{8,}[0-9]", 0),
     "CONTRACT_ID": (r"(?i)\b(?:agreement|contract|invoice|case|proposal)\s+([A-Z0-9][A-Z0-9-]{4,})\b", 1),
     "OTHER_SECRET": (r"(?i)\b(?:temporary\s+phrase|access\s+code|password|secret)\s+([A-Z0-9][A-Z0-9-]{7,})\b", 1),
