@@ -8,9 +8,9 @@ at one anchor at least; fingerprints are compared only there. At an anchor, a br
 distances emits a spanning forest: no pairs of a group are listed, and no link between different fingerprints is lost
 in the components. Equal fingerprints are one node.
 
-``fingerprints`` and ``link`` serve exact linking at two bits. ``near_copies`` serves copies with edits: several anchor
-tables over the set of words find candidates, and a fingerprint of 512 bits over five-word shingles decides whether
-their similarity reaches 0.8.
+``fingerprints`` and ``link`` serve exact linking at two bits. ``near_copies`` serves copies with edits by an exact
+similarity join on the sets of five-word shingles: sets meet at shingles that each has among its first, in an order that puts
+frequent ones last, and are compared unless verified links have joined them already.
 
 Null and empty texts have no words and fingerprint zero, which links like any other; in ``near_copies`` they are one
 group too. Rows without doc_id take part by their text; equal rows get equal results; an empty table gives no rows;
@@ -20,7 +20,7 @@ more columns of the input are left alone.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -219,34 +219,127 @@ def classes(docs: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-TABLES, WIDE = 4, 8
+SAMPLE, OFTEN, KNOWN = 20_000, 8, 200_000
 
 
-def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, words (fingerprints of the set of words, one for each anchor table) and wide (512 bits over shingles)."""
+def _sampled(shingle: int):
+    """(token, n): documents of a batch that hold each shingle."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        tables, wides = [], []
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(words_of(t), shingle)) for t in b.column("text").to_pylist()]
+        token, n = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+    return run
+
+
+def _needed(share: float, size):
+    """The least whole number that is not below that share of a size."""
+    return np.ceil(share * np.asarray(size) - 1e-9).astype(np.int64)
+
+
+def _prefixes(similarity: float, shingle: int, often: tuple[np.ndarray, np.ndarray]):
+    """For each document a digest of its set of shingles, the set's size, how many are not frequent, and the set's first shingles.
+
+    Shingles are in one order for all documents, the frequent ones last; two sets that reach the similarity have one in common
+    among the first size - similarity * size + 1 of each.
+    """
+    known, counts = often
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        same, sizes, rare, first = [], [], [], []
         for t in b.column("text").to_pylist():
-            words = words_of(t)
-            single = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
-            shingles = np.unique(shingle_hashes(words, shingle))
-            tables.append(np.array([majority(remixed(single, k)) for k in range(TABLES)], np.uint64).view(np.int64).tolist())
-            wides.append(np.array([majority(remixed(shingles, k)) for k in range(WIDE)], np.uint64).tobytes())
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tables, pa.list_(pa.int64())), pa.array(wides, pa.binary())], names=["doc_id", "words", "wide"])
+            found = np.unique(shingle_hashes(words_of(t), shingle))
+            rank = np.zeros(len(found), np.int64)
+            if len(known) and len(found):
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                rank = np.where(known[at] == found, counts[at], 0)
+            same.append(xxhash.xxh3_128_digest(found.tobytes()))
+            sizes.append(len(found))
+            rare.append(int((rank == 0).sum()))
+            length = len(found) - int(_needed(similarity, len(found))) + 1 if len(found) else 0
+            first.append(found[np.argsort(rank, kind="stable")[:length]].view(np.int64).tobytes())
+        arrays = [b.column("doc_id"), b.column("node"), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(first, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "same", "size", "rare", "first"])
+
+    return run
+
+
+BLOCK = ("token", "node", "size", "rare", "at")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(per_batch(batch), "doc_id long, words array<long>, wide binary")
+def _dealt(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each of a set's first shingles, with its place in the set's order."""
+    first = [np.frombuffer(x, np.int64) for x in b.column("first").to_pylist()]
+    n = np.array([len(x) for x in first])
+    row = [np.repeat(b.column(c).to_numpy(), n) for c in ("node", "size", "rare")]
+    at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(first), *row, at)], names=list(BLOCK))
 
 
-def _apart(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Adds the number of bits in which two wide fingerprints differ."""
-    a, c = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint64).reshape(-1, WIDE) for n in ("wide_u", "wide_v"))
-    return pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(np.bitwise_count(a ^ c).sum(axis=1).astype(np.int32))], names=["u", "v", "apart"])
+def _by_token(names: tuple[str, ...], make: Callable[..., pa.RecordBatch]):
+    """Hands rows in the order of token to make, with all rows of a token at once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            part = [b.column(c).to_numpy() for c in names]
+            if not len(part[0]):
+                continue
+            cut = int(np.searchsorted(part[0], part[0][-1]))  # the last token may go on in the next batch
+            if cut:
+                yield make(*(np.concatenate(x) for x in zip(*held, [y[:cut] for y in part], strict=True)))
+                held = []
+            held.append([x[cut:] for x in part])
+        if held:
+            yield make(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
 
-def bits_apart(similarity: float, bits: int = WIDE * 64) -> float:
-    """Bits in which fingerprints of sets with that Jaccard similarity are expected to differ."""
-    return bits * float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / float(np.pi)
+
+def _met(token: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
+    """Rows of the tokens that more than one set has."""
+    equal = token[1:] == token[:-1]
+    kept = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
+    return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (token, *others)], names=list(BLOCK))
+
+
+def _pairs(similarity: float, stars: bool):
+    """(u, v) of a token that have different roots and can reach the similarity by their sizes and the token's places.
+
+    The bound by places holds at the first token that two sets share, so no such pair is lost. With stars, only pairs
+    with one member are given: that with the fewest rare shingles, to which edited copies are closest.
+    """
+    share = similarity / (1 + similarity)
+
+    def make(token, node, size, rare, at, root) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.diff(token)) + 1
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(np.concatenate([[0], edge]).tolist(), np.concatenate([edge, [len(token)]]).tolist(), strict=True):
+            own, inverse, many = np.unique(root[s:e], return_inverse=True, return_counts=True)
+            if len(own) < 2:
+                continue
+            if stars:
+                order = np.lexsort((node[s:e], rare[s:e]))
+                rows = 1
+            else:  # members of the commonest root come last: they are not compared with each other
+                last = inverse == many.argmax()
+                order = np.argsort(last, kind="stable")
+                rows = int((~last).sum())
+            n, z, a, r = (x[s:e][order] for x in (node, size.astype(np.int64), at, root))
+            for i in range(0, rows, 256):
+                part = slice(i, min(i + 256, rows))
+                x, y = z[part, None], z[None, :]
+                most = 1 + np.minimum((z - 1 - a)[part, None], (z - 1 - a)[None, :])
+                fits = (r[part, None] != r[None, :]) & (np.arange(len(n))[None, :] > np.arange(len(n))[part, None])
+                fits &= (most >= _needed(share, x + y)) & (np.minimum(x, y) >= _needed(similarity, np.maximum(x, y)))
+                k, m = np.nonzero(fits)
+                us.append(n[k + i])
+                vs.append(n[m])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    return make
 
 
 def _jaccard(shingle: int):
@@ -260,39 +353,56 @@ def _jaccard(shingle: int):
     return run
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, candidate_bits: int = 14, deviations: float = 2.5) -> DataFrame:
-    """doc_id and component_id of each document; links are pairs whose sets of shingles have that Jaccard similarity.
+def _row():
+    """A key of a row: equal for rows with the same doc_id and text only."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def _grouped(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """doc_id, node (the row's key) and root (equal for the rows of a group) of each row.
 
-    Candidates meet at an anchor of some table and have wide fingerprints no further apart than such pairs are expected
-    to be, plus so many standard deviations; the shingles themselves then decide.
+    An exact join: sets that share one of their first shingles and are not yet in one group are compared. First each block of a
+    shingle is compared with one member; then all pairs are that no verified links have joined.
     """
     spark = docs.sparkSession
-    sigs = checkpoint(signatures(docs, shingle))
-    nodes = checkpoint(sigs.groupBy("words", "wide").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    pairs = None
-    for k in range(TABLES):
-        found = link(nodes.select("node", F.col("words")[k].alias("fp")), candidate_bits, hamming=False)
-        pairs = found if pairs is None else pairs.union(found)
-    expected = bits_apart(similarity)
-    most = int(expected + deviations * (expected * (1 - expected / (WIDE * 64))) ** 0.5)
-    wide = nodes.select("node", "wide")
-    both = (
-        pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        .join(wide.select(F.col("node").alias("u"), F.col("wide").alias("wide_u")), "u")
-        .join(wide.select(F.col("node").alias("v"), F.col("wide").alias("wide_v")), "v")
-    )
-    close = checkpoint(both.select("u", "v", "wide_u", "wide_v").mapInArrow(per_batch(_apart), "u long, v long, apart int").where(F.col("apart") <= most).select("u", "v"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    compared = (
-        close.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-        .join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-        .repartition(partitions(spark))
-        .select("u", "v", "text_u", "text_v")
-        .mapInArrow(per_batch(_jaccard(shingle)), "u long, v long, similarity double")
-    )
-    roots = components(compared.where(F.col("similarity") >= similarity).select("u", "v"))
-    rooted = nodes.join(roots, "node", "left").select("words", "wide", F.coalesce("root", "node").alias("component_id"))
-    return sigs.join(rooted, ["words", "wide"], "left").select("doc_id", "component_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("node"), "text")
+    every = max(1, docs.count() // SAMPLE)
+    # The order of shingles decides how many are compared, never what is found: a bounded sample will do.
+    sample = rows.where(F.pmod("node", F.lit(every)) == 0).select("text").mapInArrow(per_batch(_sampled(shingle)), "token long, n long")
+    often = sample.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(KNOWN).toPandas()
+    tokens, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    sets = checkpoint(rows.mapInArrow(per_batch(_prefixes(similarity, shingle, (tokens[order], counts[order]))), "doc_id long, node long, same binary, size int, rare int, first binary"))
+    nodes = checkpoint(sets.groupBy("same").agg(F.min("node").alias("least"), *(F.first(c).alias(c) for c in ("size", "rare", "first"))).withColumnRenamed("least", "node"))
+    blocked = "token long, node long, size int, rare int, at int"
+    dealt = nodes.where("size > 0").select("node", "size", "rare", "first").mapInArrow(per_batch(_dealt), blocked)
+    blocks = checkpoint(dealt.repartition(partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_by_token(BLOCK, _met), blocked))
+    texts = checkpoint(rows.select("node", "text").join(blocks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+    def linked(roots: DataFrame | None, stars: bool) -> DataFrame:
+        rooted = blocks.withColumn("root", F.col("node")) if roots is None else blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ordered = rooted.select(*BLOCK, "root").repartition(partitions(spark), "token").sortWithinPartitions("token")
+        close = checkpoint(ordered.mapInArrow(_by_token((*BLOCK, "root"), _pairs(similarity, stars)), "u long, v long").distinct())
+        compared = (
+            close.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
+            .join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+            .repartition(partitions(spark))
+            .select("u", "v", "text_u", "text_v")
+            .mapInArrow(per_batch(_jaccard(shingle)), "u long, v long, similarity double")
+        )
+        return checkpoint(compared.where(F.col("similarity") >= similarity).select("u", "v"))
+
+    first = linked(None, True)
+    links = first.union(linked(components(first), False))
+    roots = components(links)
+    rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
+    return sets.select("doc_id", "node", "same").join(rooted, "same").select("doc_id", "node", "root")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id and component_id (the group's least doc_id) of each document; links are all pairs whose sets of shingles have that Jaccard similarity."""
+    grouped = checkpoint(_grouped(docs, similarity, shingle))
+    return grouped.join(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

@@ -273,6 +273,59 @@ def test_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [3 * g for g in range(12)]
 
 
+def shingled(text):
+    w = text.encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def groups_by_brute_force(rows, similarity=0.8):
+    sets, root = {i: shingled(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    return root
+
+
+def test_near_copies_of_a_base_that_is_not_the_root(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    rows = []
+    for _ in range(4):
+        base = [rng.choice(words) for _ in range(300)]
+        at = len(rows) + 23
+        for i in range(len(rows), len(rows) + 40):
+            own = list(base)
+            for k in rng.sample(range(0, 300, 5), 0 if i == at else 6):
+                own[k] = f"edit{rng.randrange(10**6)}"
+            rows.append((i, " ".join(own)))
+    want = groups_by_brute_force(rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) == 4
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 50)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    common = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for g in range(60):
+        n = rng.choice((4, 12, 60, 200, 400))
+        base = [rng.choice(words) for _ in range(n)] + common * (g % 3 == 0)
+        n = len(base)
+        rows.append((len(rows), " ".join(base)))
+        for share in (0.05, 0.1, 0.12, 0.2, 0.23, 0.26):
+            k = int(n * share)
+            rows.append((len(rows), " ".join(base + [rng.choice(words) for _ in range(k)])))
+            rows.append((len(rows), " ".join([rng.choice(words) for _ in range(k // 2)] + base[k // 2 :])))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups_by_brute_force(rows)
+
+
 def test_sharding(spark):
     for n in (1, 2, 3, 7, 24, 101, 1000):
         assert sorted(r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n)).collect()) == list(range(n))
