@@ -217,6 +217,15 @@ def test_pii_terms(spark):
     assert got[10].text is None and got[11].text == "clean text" and got[0].spans == "k"
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    far = lambda i, k: " ".join(f"filler{i}x{k}x{j}" for j in range(20))
+    rows = [(i, f"Dear Quorvin, {far(i, 0)} agent Zorblax wrote to zed@mail.example.com on day{i} {far(i, 1)} Zorblax again") for i in range(6)]
+    rows += [(20 + i, f"Hello Marwick, {far(i, 2)} write to ann@mail.example.com today{i}") for i in range(3)] + [(30 + i, f"Marwick rests {far(i, 3)}") for i in range(4)]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Zorblax" not in got[i] and "Quorvin" not in got[i] and f"filler{i}x0x3" in got[i] for i in range(6))
+    assert all("Marwick" in got[i] for i in range(20, 23)) and got[30] == rows[9][1]  # 3 of 7 documents: below the share
+
+
 def test_simhash_against_brute_force(spark):
     rows, df = corpus(spark, n=80)
     got = by_id(simhash.classes(df))
@@ -306,7 +315,7 @@ def test_near_copies_of_a_base_that_is_not_the_root(spark):
 
 
 def test_near_copies_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SAMPLE", 50)
+    monkeypatch.setattr(simhash, "SAMPLE", 50, raising=False)
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
     common = [rng.choice(words) for _ in range(60)]
