@@ -405,13 +405,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     return grouped.join(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without near copies: of each group the document with the least doc_id stays, with all its columns.
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """docs without near copies: of each group the row with the least doc_id stays, with all its columns.
 
-    Of rows with one doc_id, one stays. Rows without doc_id stay if no other row has their text, one of each text.
+    Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, are compared like all others; a row
+    without doc_id stays only if no row of its group has one.
     """
-    found = near_copies(docs, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(found, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"]).withColumn("_text", F.coalesce("text", F.lit("")))
-    texts = docs.where("doc_id is not null").select(F.coalesce("text", F.lit("")).alias("_text")) if not nameless.isEmpty() else None
-    return named if texts is None else named.union(nameless.join(texts, "_text", "left_anti").select(*docs.columns))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"]
+    kept = _grouped(docs, similarity, shingle).groupBy("root").agg(first.alias("_kept")).select("_kept")
+    return docs.withColumn("_own", _row()).join(kept, F.col("_own") == F.col("_kept"), "left_semi").dropDuplicates(["_own"]).drop("_own")

@@ -335,6 +335,13 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     assert got == groups_by_brute_force(rows)
 
 
+def test_near_copies_with_repeated_or_missing_ids(spark):
+    base = [f"word{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (1, "another text that has nothing in common with it"), (None, " ".join([*base, "more"])), (None, "alone " * 3 + " ".join(base[::-1])), (None, "alone " * 4 + " ".join(base[::-1])), (2, "short"), (2, "short")]
+    got = sorted((r.doc_id or 0, r.text.split()[0]) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, "alone"), (1, "another"), (1, "word0"), (2, "short")]
+
+
 def test_sharding(spark):
     for n in (1, 2, 3, 7, 24, 101, 1000):
         assert sorted(r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n)).collect()) == list(range(n))
