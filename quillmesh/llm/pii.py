@@ -203,7 +203,7 @@ def _term_counts(most: int = 200_000):
         for b in batches:
             for text in b.column("text").to_pylist():
                 if text:
-                    counts.update({bare(w) for w in set(text.split())})
+                    counts.update({bare(w) for w in set(WORD.findall(text))})
                 if len(counts) > most:
                     yield flush(counts)
                     counts.clear()

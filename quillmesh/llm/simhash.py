@@ -13,7 +13,7 @@ similarity join on the sets of five-word shingles: sets meet at shingles that ea
 frequent ones last, and are compared unless verified links have joined them already.
 
 Null and empty texts have no words and fingerprint zero, which links like any other; in ``near_copies`` they are one
-group too. Rows without doc_id take part by their text; equal rows get equal results; an empty table gives no rows;
+group too. Rows without doc_id take part like all others; equal rows get equal results; an empty table gives no rows;
 more columns of the input are left alone.
 """
 

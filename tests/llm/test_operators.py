@@ -226,6 +226,12 @@ def test_pii_terms_far_from_the_entity(spark):
     assert all("Marwick" in got[i] for i in range(20, 23)) and got[30] == rows[9][1]  # 3 of 7 documents: below the share
 
 
+def test_pii_terms_with_unicode_spaces(spark):
+    rows = [(i, f"agent Zor\u00a0blax wrote word{i} to zed@mail.example.com on day{i} more{i}") for i in range(6)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6 and all("blax" not in r.text for r in got)
+
+
 def test_simhash_against_brute_force(spark):
     rows, df = corpus(spark, n=80)
     got = by_id(simhash.classes(df))
