@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import MASK64, checkpoint, partitions, per_batch, words_of
+from quillmesh.llm.common import checkpoint, pack, partitions, per_batch, unpack, words_of
 from quillmesh.llm.graph import components
 
 GOLAY, GOLAY_BITS, GOLAY_RADIUS = 0b101011100011, 23, 3  # generator polynomial, length, covering radius
@@ -57,14 +57,6 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * count > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Other 64 bits for the same items (splitmix finaliser)."""
-    h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & MASK64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint's 64 bits as a long."""
 
@@ -297,11 +289,33 @@ def _by_token(names: tuple[str, ...], make: Callable[..., pa.RecordBatch]):
     return run
 
 
-def _met(token: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
-    """Rows of the tokens that more than one set has."""
-    equal = token[1:] == token[:-1]
-    kept = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
-    return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (token, *others)], names=list(BLOCK))
+def _fits(similarity: float, z: np.ndarray, a: np.ndarray, x: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which sets of sizes z and x can reach the similarity, if the first token they share is at places a and b."""
+    most = 1 + np.minimum(z - 1 - a, x - 1 - b)
+    return (most >= _needed(similarity / (1 + similarity), z + x)) & (np.minimum(z, x) >= _needed(similarity, np.maximum(z, x)))
+
+
+def _met(similarity: float, small: int = 64):
+    """Rows of the tokens that more than one set has; of small blocks, of the sets that another one fits."""
+
+    def make(token, node, size, rare, at) -> pa.RecordBatch:
+        equal = token[1:] == token[:-1]
+        rows = np.flatnonzero(np.concatenate([[False], equal]) | np.concatenate([equal, [False]]))
+        kept = np.ones(len(rows), bool)
+        edge = np.flatnonzero(np.diff(token[rows])) + 1
+        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(rows)]])
+        z, a = size[rows].astype(np.int64), at[rows].astype(np.int64)
+        two = starts[ends - starts == 2]
+        kept[two] = kept[two + 1] = _fits(similarity, z[two], a[two], z[two + 1], a[two + 1])
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            if 2 < e - s <= small:
+                fits = _fits(similarity, z[s:e, None], a[s:e, None], z[None, s:e], a[None, s:e])
+                np.fill_diagonal(fits, False)
+                kept[s:e] = fits.any(axis=1)
+        rows = rows[kept]
+        return pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (token, node, size, rare, at)], names=list(BLOCK))
+
+    return make
 
 
 def _pairs(similarity: float, stars: bool):
@@ -310,7 +324,6 @@ def _pairs(similarity: float, stars: bool):
     The bound by places holds at the first token that two sets share, so no such pair is lost. With stars, only pairs
     with one member are given: that with the fewest rare shingles, to which edited copies are closest.
     """
-    share = similarity / (1 + similarity)
 
     def make(token, node, size, rare, at, root) -> pa.RecordBatch:
         edge = np.flatnonzero(np.diff(token)) + 1
@@ -329,10 +342,8 @@ def _pairs(similarity: float, stars: bool):
             n, z, a, r = (x[s:e][order] for x in (node, size.astype(np.int64), at, root))
             for i in range(0, rows, 256):
                 part = slice(i, min(i + 256, rows))
-                x, y = z[part, None], z[None, :]
-                most = 1 + np.minimum((z - 1 - a)[part, None], (z - 1 - a)[None, :])
                 fits = (r[part, None] != r[None, :]) & (np.arange(len(n))[None, :] > np.arange(len(n))[part, None])
-                fits &= (most >= _needed(share, x + y)) & (np.minimum(x, y) >= _needed(similarity, np.maximum(x, y)))
+                fits &= _fits(similarity, z[part, None], a[part, None], z[None, :], a[None, :])
                 k, m = np.nonzero(fits)
                 us.append(n[k + i])
                 vs.append(n[m])
@@ -342,11 +353,19 @@ def _pairs(similarity: float, stars: bool):
     return make
 
 
+def _packed(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts compressed, as they are shuffled."""
+    return pa.RecordBatch.from_arrays([b.column("node"), pa.array([pack(np.frombuffer((t or "").encode(), np.uint8)) for t in b.column("text").to_pylist()], pa.binary())], names=["node", "text"])
+
+
 def _jaccard(shingle: int):
+    def own(blob: bytes) -> set[int]:
+        return set(shingle_hashes(unpack(blob, "u1")[0].tobytes().lower().split(), shingle).tolist())
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for x, y in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True):
-            s, t = (set(shingle_hashes(words_of(text), shingle).tolist()) for text in (x, y))
+            s, t = own(x), own(y)
             out.append(len(s & t) / len(s | t) if s or t else 1.0)
         return pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(out, pa.float64())], names=["u", "v", "similarity"])
 
@@ -373,11 +392,12 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     tokens, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
     sets = checkpoint(rows.mapInArrow(per_batch(_prefixes(similarity, shingle, (tokens[order], counts[order]))), "doc_id long, node long, same binary, size int, rare int, first binary"))
-    nodes = checkpoint(sets.groupBy("same").agg(F.min("node").alias("least"), *(F.first(c).alias(c) for c in ("size", "rare", "first"))).withColumnRenamed("least", "node"))
+    nodes = sets.groupBy("same").agg(F.min("node").alias("least"), *(F.first(c).alias(c) for c in ("size", "rare", "first"))).withColumnRenamed("least", "node")
     blocked = "token long, node long, size int, rare int, at int"
     dealt = nodes.where("size > 0").select("node", "size", "rare", "first").mapInArrow(per_batch(_dealt), blocked)
-    blocks = checkpoint(dealt.repartition(partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_by_token(BLOCK, _met), blocked))
-    texts = checkpoint(rows.select("node", "text").join(blocks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    blocks = checkpoint(dealt.repartition(partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_by_token(BLOCK, _met(similarity)), blocked))
+    packed = rows.select("node", "text").mapInArrow(per_batch(_packed), "node long, text binary")
+    texts = checkpoint(packed.join(blocks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
 
     def linked(roots: DataFrame | None, stars: bool) -> DataFrame:
         rooted = blocks.withColumn("root", F.col("node")) if roots is None else blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
