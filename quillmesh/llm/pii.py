@@ -34,7 +34,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&=/\\"
-COMMON = 50_000  # terms whose counts are known to all tasks, to leave pairs out early that cannot reach the share
+COMMON = 1_000_000  # bound on the terms whose counts are known to all tasks, to leave pairs out early that cannot reach the share
 Span = tuple[int, int, int]
 
 
@@ -225,7 +225,8 @@ def find(docs: DataFrame, reach: int = 6, support: int = 3, generalise: float =
     own = lambda df, *more: df.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), *more)
     same = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
     counts = checkpoint(docs.select("text").mapInArrow(_term_counts(), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
-    common = {r.term: r.n for r in counts.orderBy(F.desc("n"), "term").limit(COMMON).collect()}
+    least = (counts.agg(F.sum("n")).first()[0] or 0) // COMMON + 1
+    common = {r.term: r.n for r in counts.where(F.col("n") >= least).collect()}  # COMMON rows at most
     asked = held.join(own(holders, "holders"), same).select("doc_id", "text_key", "text", "base", "holders")
     met = checkpoint(asked.mapInArrow(_together(reach, common, generalise), "doc_id long, text_key long, term string, entity string, windows array<long>"))
     together = met.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together"))

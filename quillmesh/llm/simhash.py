@@ -211,7 +211,7 @@ def classes(docs: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-SAMPLE, OFTEN, KNOWN = 20_000, 8, 200_000
+SAMPLE, OFTEN, KNOWN = 20_000, 8, 1_000_000
 
 
 def _sampled(shingle: int):
@@ -388,7 +388,9 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     every = max(1, docs.count() // SAMPLE)
     # The order of shingles decides how many are compared, never what is found: a bounded sample will do.
     sample = rows.where(F.pmod("node", F.lit(every)) == 0).select("text").mapInArrow(per_batch(_sampled(shingle)), "token long, n long")
-    often = sample.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(KNOWN).toPandas()
+    held = checkpoint(sample.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN))
+    least = (held.agg(F.sum("n")).first()[0] or 0) // KNOWN + 1
+    often = held.where(F.col("n") >= least).toPandas()  # KNOWN rows at most
     tokens, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
     sets = checkpoint(rows.mapInArrow(per_batch(_prefixes(similarity, shingle, (tokens[order], counts[order]))), "doc_id long, node long, same binary, size int, rare int, first binary"))
@@ -399,7 +401,10 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     packed = rows.select("node", "text").mapInArrow(per_batch(_packed), "node long, text binary")
     texts = checkpoint(packed.join(blocks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
 
+    del sample, dealt, packed
+
     def linked(roots: DataFrame | None, stars: bool) -> DataFrame:
+        spark._jvm.System.gc()  # shuffle files go once the driver's JVM sees that no frame holds them
         rooted = blocks.withColumn("root", F.col("node")) if roots is None else blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ordered = rooted.select(*BLOCK, "root").repartition(partitions(spark), "token").sortWithinPartitions("token")
         close = checkpoint(ordered.mapInArrow(_by_token((*BLOCK, "root"), _pairs(similarity, stars)), "u long, v long").distinct())
@@ -414,6 +419,7 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
 
     first = linked(None, True)
     links = first.union(linked(components(first), False))
+    spark._jvm.System.gc()
     roots = components(links)
     rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     return sets.select("doc_id", "node", "same").join(rooted, "same").select("doc_id", "node", "root")
