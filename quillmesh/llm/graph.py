@@ -21,20 +21,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for every node of edges (u, v).
 
     Alternating large and small stars; each round is checkpointed, and the end is seen from a checksum. Long chains
-    need a number of rounds that grows with the logarithm of their length.
+    need a number of rounds that grows with the logarithm of their length; rounds go on until nothing changes.
     """
     edges = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         mark = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("v", "u", F.lit(1))), F.lit(0))).first()
         if mark == before or mark[0] == 0:
             break
         before = mark
         edges = checkpoint(_star(_star(edges, large=True), large=False))
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -8,9 +8,10 @@ at one anchor at least; fingerprints are compared only there. At an anchor, a br
 distances emits a spanning forest: no pairs of a group are listed, and no link between different fingerprints is lost
 in the components. Equal fingerprints are one node.
 
-``fingerprints`` and ``link`` serve exact linking at two bits. ``near_copies`` serves copies with edits by an exact
-similarity join on the sets of five-word shingles: sets meet at shingles that each has among its first, in an order that puts
-frequent ones last, and are compared unless verified links have joined them already.
+``fingerprints`` and ``link`` serve exact linking at two bits. ``near_copies`` serves copies with edits: fingerprints of the sets
+of five-word shingles, linked in the same way, give candidates, which the sets themselves confirm. An exact similarity join finds the
+rest: sets meet at shingles that each has among its first, in an order that puts frequent ones last, and are compared
+unless confirmed links have joined them already.
 
 Null and empty texts have no words and fingerprint zero, which links like any other; in ``near_copies`` they are one
 group too. Rows without doc_id take part like all others; equal rows get equal results; an empty table gives no rows;
@@ -211,14 +212,51 @@ def classes(docs: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-SAMPLE, OFTEN, KNOWN = 20_000, 8, 1_000_000
+SAMPLE, OFTEN, KNOWN = 10_000, 4, 1_000_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_set(text: str | bytes | None, k: int) -> np.ndarray:
+    """The distinct k-word shingles of a text (the whole sequence if it has fewer words) as 64-bit hashes, mixed from those of their words."""
+    words = words_of(text) if text is None or isinstance(text, str) else text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(k, len(words))
+    out = h[: len(h) - k + 1]
+    for i in range(1, k):
+        out = _mixed(out) + h[i : len(h) - k + 1 + i]
+    return np.unique(_mixed(_mixed(out)))
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """A bit for each hash of a set, added up modulo 2, in at least two bits for each member (a power of two).
+
+    Sketches of two sets, the longer one folded to the length of the shorter one, differ in no more bits than the sets differ in members.
+    """
+    bits = max(64, 1 << (2 * len(found)).bit_length())
+    at = (found & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two sketches: a lower bound of the members that only one of the sets has."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        a, b = (b, a) if len(a) < len(b) else (a, b)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _sampled(shingle: int):
     """(token, n): documents of a batch that hold each shingle."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(words_of(t), shingle)) for t in b.column("text").to_pylist()]
+        sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
         token, n = np.unique(np.concatenate(sets), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
@@ -230,8 +268,11 @@ def _needed(share: float, size):
     return np.ceil(share * np.asarray(size) - 1e-9).astype(np.int64)
 
 
+SETS = "doc_id long, node long, same binary, size int, rare int, fp long, first binary, sketch binary"
+
+
 def _prefixes(similarity: float, shingle: int, often: tuple[np.ndarray, np.ndarray]):
-    """For each document a digest of its set of shingles, the set's size, how many are not frequent, and the set's first shingles.
+    """For each document a digest of its set of shingles, the set's size, how many are not frequent, its SimHash, its first shingles and its sketch.
 
     Shingles are in one order for all documents, the frequent ones last; two sets that reach the similarity have one in common
     among the first size - similarity * size + 1 of each.
@@ -239,20 +280,20 @@ def _prefixes(similarity: float, shingle: int, often: tuple[np.ndarray, np.ndarr
     known, counts = often
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        same, sizes, rare, first = [], [], [], []
+        rows = []
         for t in b.column("text").to_pylist():
-            found = np.unique(shingle_hashes(words_of(t), shingle))
+            found = shingle_set(t, shingle)
             rank = np.zeros(len(found), np.int64)
             if len(known) and len(found):
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                 rank = np.where(known[at] == found, counts[at], 0)
-            same.append(xxhash.xxh3_128_digest(found.tobytes()))
-            sizes.append(len(found))
-            rare.append(int((rank == 0).sum()))
             length = len(found) - int(_needed(similarity, len(found))) + 1 if len(found) else 0
-            first.append(found[np.argsort(rank, kind="stable")[:length]].view(np.int64).tobytes())
-        arrays = [b.column("doc_id"), b.column("node"), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(first, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "same", "size", "rare", "first"])
+            first = found[np.argsort(rank, kind="stable")[:length]].view(np.int64).tobytes()
+            fp = int(np.uint64(majority(found)).view(np.int64))
+            rows.append((xxhash.xxh3_128_digest(found.tobytes()), len(found), int((rank == 0).sum()), fp, first, sketch(found)))
+        types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        arrays = [b.column("doc_id"), b.column("node"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "same", "size", "rare", "fp", "first", "sketch"])
 
     return run
 
@@ -322,52 +363,82 @@ def _pairs(similarity: float, stars: bool):
     """(u, v) of a token that have different roots and can reach the similarity by their sizes and the token's places.
 
     The bound by places holds at the first token that two sets share, so no such pair is lost. With stars, only pairs
-    with one member are given: that with the fewest rare shingles, to which edited copies are closest.
+    with one member, u, are given: that with the fewest rare shingles, to which edited copies are closest.
     """
 
     def make(token, node, size, rare, at, root) -> pa.RecordBatch:
         edge = np.flatnonzero(np.diff(token)) + 1
         us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for s, e in zip(np.concatenate([[0], edge]).tolist(), np.concatenate([edge, [len(token)]]).tolist(), strict=True):
-            own, inverse, many = np.unique(root[s:e], return_inverse=True, return_counts=True)
+            own, many = np.unique(root[s:e], return_counts=True)
             if len(own) < 2:
                 continue
             if stars:
                 order = np.lexsort((node[s:e], rare[s:e]))
                 rows = 1
-            else:  # members of the commonest root come last: they are not compared with each other
-                last = inverse == many.argmax()
-                order = np.argsort(last, kind="stable")
+            else:  # by size; members of the commonest root come last: they are not compared with each other
+                last = root[s:e] == own[many.argmax()]
+                order = np.lexsort((size[s:e], last))
                 rows = int((~last).sum())
             n, z, a, r = (x[s:e][order] for x in (node, size.astype(np.int64), at, root))
             for i in range(0, rows, 256):
                 part = slice(i, min(i + 256, rows))
-                fits = (r[part, None] != r[None, :]) & (np.arange(len(n))[None, :] > np.arange(len(n))[part, None])
-                fits &= _fits(similarity, z[part, None], a[part, None], z[None, :], a[None, :])
+                if stars:
+                    others = np.arange(1, len(n))
+                else:  # partners are sought among sizes within reach only
+                    reach = int(z[part.stop - 1] / similarity) + 1
+                    low = int(similarity * z[i])
+                    others = np.concatenate([np.arange(i, int(np.searchsorted(z[:rows], reach, side="right"))), rows + np.arange(*np.searchsorted(z[rows:], [low, reach + 1]))])
+                fits = (r[part, None] != r[None, others]) & (others[None, :] > np.arange(part.start, part.stop)[:, None])
+                fits &= _fits(similarity, z[part, None], a[part, None], z[None, others], a[None, others])
                 k, m = np.nonzero(fits)
                 us.append(n[k + i])
-                vs.append(n[m])
+                vs.append(n[others[m]])
         u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+        if not stars:
+            u, v = np.minimum(u, v), np.maximum(u, v)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return make
 
 
+def _close(similarity: float):
+    """Pairs whose sketches leave room for the similarity; what is dropped here can't reach it."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        size = b.column("size_u").to_numpy().astype(np.int64) + b.column("size_v").to_numpy()
+        least = np.array([apart(x, y) for x, y in zip(b.column("sketch_u").to_pylist(), b.column("sketch_v").to_pylist(), strict=True)], np.int64)
+        kept = pa.array(size - least >= 2 * _needed(similarity / (1 + similarity), size))
+        return pa.RecordBatch.from_arrays([b.column("u").filter(kept), b.column("v").filter(kept)], names=["u", "v"])
+
+    return run
+
+
 def _packed(b: pa.RecordBatch) -> pa.RecordBatch:
     """Texts compressed, as they are shuffled."""
     return pa.RecordBatch.from_arrays([b.column("node"), pa.array([pack(np.frombuffer((t or "").encode(), np.uint8)) for t in b.column("text").to_pylist()], pa.binary())], names=["node", "text"])
 
 
-def _jaccard(shingle: int):
-    def own(blob: bytes) -> set[int]:
-        return set(shingle_hashes(unpack(blob, "u1")[0].tobytes().lower().split(), shingle).tolist())
+def _verified(similarity: float, shingle: int):
+    """Of rows in the order of (u, part), u's own row first: the pairs that reach the similarity. One set of u is held at a time."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for x, y in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True):
-            s, t = own(x), own(y)
-            out.append(len(s & t) / len(s | t) if s or t else 1.0)
-        return pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(out, pa.float64())], names=["u", "v", "similarity"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.empty(0, np.uint64)
+        for b in batches:
+            us, vs = [], []
+            for u, part, v, text in zip(*(b.column(c).to_pylist() for c in ("u", "part", "v", "text")), strict=True):
+                found = shingle_set(unpack(text, "u1")[0].tobytes(), shingle)
+                if v is None:
+                    hub, own = (u, part), found
+                    continue
+                if hub != (u, part):
+                    raise ValueError("a pair without its first text")
+                shared = len(np.intersect1d(own, found, assume_unique=True))
+                union = len(own) + len(found) - shared
+                if union == 0 or shared >= _needed(similarity, union):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -377,13 +448,18 @@ def _row():
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-def _grouped(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+EDGES = 512  # of one node that are compared in one go
+
+
+def _grouped(docs: DataFrame, similarity: float, shingle: int, most: int = 2) -> DataFrame:
     """doc_id, node (the row's key) and root (equal for the rows of a group) of each row.
 
-    An exact join: sets that share one of their first shingles and are not yet in one group are compared. First each block of a
-    shingle is compared with one member; then all pairs are that no verified links have joined.
+    SimHash fingerprints of the sets that differ in ``most`` bits at most give the first candidates, found at their anchors; each
+    block of sets that share one of their first shingles adds the pairs with one member. Then follow, as an exact join,
+    all pairs of a block that no verified links have joined. Candidates pass a bound from sketches before their texts are compared.
     """
     spark = docs.sparkSession
+    n = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("node"), "text")
     every = max(1, docs.count() // SAMPLE)
     # The order of shingles decides how many are compared, never what is found: a bounded sample will do.
@@ -393,38 +469,57 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     often = held.where(F.col("n") >= least).toPandas()  # KNOWN rows at most
     tokens, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
-    sets = checkpoint(rows.mapInArrow(per_batch(_prefixes(similarity, shingle, (tokens[order], counts[order]))), "doc_id long, node long, same binary, size int, rare int, first binary"))
-    nodes = sets.groupBy("same").agg(F.min("node").alias("least"), *(F.first(c).alias(c) for c in ("size", "rare", "first"))).withColumnRenamed("least", "node")
+    sets = checkpoint(rows.mapInArrow(per_batch(_prefixes(similarity, shingle, (tokens[order], counts[order]))), SETS))
+    nodes = sets.groupBy("same").agg(F.min("node").alias("least"), *(F.first(c).alias(c) for c in ("size", "rare", "fp", "first", "sketch"))).withColumnRenamed("least", "node")
     blocked = "token long, node long, size int, rare int, at int"
     dealt = nodes.where("size > 0").select("node", "size", "rare", "first").mapInArrow(per_batch(_dealt), blocked)
-    blocks = checkpoint(dealt.repartition(partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_by_token(BLOCK, _met(similarity)), blocked))
+    blocks = checkpoint(dealt.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_by_token(BLOCK, _met(similarity)), blocked))
+    del sample, dealt
+    spark._jvm.System.gc()  # shuffle files go once the driver's JVM sees that no frame holds them
+    fps = checkpoint(nodes.where("size > 0").select("node", "fp", "size", "sketch"))
+    near = checkpoint(_alike(fps, most))
+    asked = blocks.select("node").union(near.select(F.col("u").alias("node"))).union(near.select(F.col("v").alias("node"))).distinct()
+    sketches = checkpoint(fps.join(asked, "node", "left_semi").select("node", "size", "sketch"))
     packed = rows.select("node", "text").mapInArrow(per_batch(_packed), "node long, text binary")
-    texts = checkpoint(packed.join(blocks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-
-    del sample, dealt, packed
+    texts = checkpoint(packed.join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    del packed
+    spark._jvm.System.gc()
 
-    def linked(roots: DataFrame | None, stars: bool) -> DataFrame:
-        spark._jvm.System.gc()  # shuffle files go once the driver's JVM sees that no frame holds them
+    def linked(roots: DataFrame | None, stars: bool, more: DataFrame | None = None) -> DataFrame:
         rooted = blocks.withColumn("root", F.col("node")) if roots is None else blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ordered = rooted.select(*BLOCK, "root").repartition(partitions(spark), "token").sortWithinPartitions("token")
-        close = checkpoint(ordered.mapInArrow(_by_token((*BLOCK, "root"), _pairs(similarity, stars)), "u long, v long").distinct())
-        compared = (
-            close.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-            .join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-            .repartition(partitions(spark))
-            .select("u", "v", "text_u", "text_v")
-            .mapInArrow(per_batch(_jaccard(shingle)), "u long, v long, similarity double")
-        )
-        return checkpoint(compared.where(F.col("similarity") >= similarity).select("u", "v"))
-
-    first = linked(None, True)
-    links = first.union(linked(components(first), False))
+        ordered = rooted.select(*BLOCK, "root").repartition(n, "token").sortWithinPartitions("token")
+        met = ordered.mapInArrow(_by_token((*BLOCK, "root"), _pairs(similarity, stars)), "u long, v long")
+        pairs = (met if more is None else met.union(more)).distinct()
+        own = lambda c: sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        close = checkpoint(pairs.join(own("u"), "u").join(own("v"), "v").select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v").mapInArrow(per_batch(_close(similarity)), "u long, v long"))
+        many = close.groupBy("u").agg(F.count(F.lit(1)).alias("many"))
+        parted = close.join(many, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("many") / EDGES)).alias("part"))
+        partners = parted.join(texts.withColumnRenamed("node", "v"), "v").select("u", "part", "v", "text")
+        hubs = parted.select("u", "part").distinct().join(texts.withColumnRenamed("node", "u"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "text")
+        both = hubs.union(partners).repartition(n, "u", "part").sortWithinPartitions("u", "part", "v")  # nulls come first
+        return checkpoint(both.mapInArrow(_verified(similarity, shingle), "u long, v long"))
+
+    first = linked(None, True, near)
+    roots = checkpoint(components(first))
     spark._jvm.System.gc()
-    roots = components(links)
-    rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
+    second = linked(roots, False)
+    spark._jvm.System.gc()
+    # Links of the second pass join whole groups of the first.
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = second.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    whole = nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
+    rooted = whole.join(joined, "root", "left").select("same", F.coalesce("top", "root").alias("root"))
     return sets.select("doc_id", "node", "same").join(rooted, "same").select("doc_id", "node", "root")
 
 
+def _alike(nodes: DataFrame, most: int) -> DataFrame:
+    """(u, v): nodes (node, fp) whose fingerprints differ in ``most`` bits at most, each with one neighbour at least."""
+    one = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    equal = nodes.join(one, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    return equal.union(link(one.select(F.col("least").alias("node"), "fp"), most))
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """doc_id and component_id (the group's least doc_id) of each document; links are all pairs whose sets of shingles have that Jaccard similarity."""
     grouped = checkpoint(_grouped(docs, similarity, shingle))
