@@ -14,6 +14,8 @@ numpy, chroma upsampled by repetition, and the JFIF colour conversion.
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
 
 import numpy as np
@@ -40,11 +42,9 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _stuffed(bits: np.ndarray) -> bytes:
-    """Bits as entropy-coded bytes: filled up with ones, a zero byte after each 0xFF."""
-    if spare := -len(bits) % 8:
-        bits = np.concatenate([bits, np.ones(spare, np.uint8)])
-    return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
+def _stuffed(coded: bytes) -> bytes:
+    """Entropy-coded bytes with a zero byte after each 0xFF."""
+    return coded.replace(b"\xff", b"\xff\x00")
 
 
 def _bits(text: str) -> np.ndarray:
@@ -64,8 +64,35 @@ def layout(blocks: int) -> tuple[int, int]:
     return wide, -(-units // wide)
 
 
-def _scan(component: int, first: int, last: int, high: int, low: int, bits: np.ndarray) -> bytes:
-    return _segment(0xDA, bytes([1, component, 0x00, first, last, high << 4 | low])) + _stuffed(bits)
+@functools.cache
+def _scan(component: int, first: int, last: int, high: int, low: int) -> bytes:
+    return _segment(0xDA, bytes([1, component, 0x00, first, last, high << 4 | low]))
+
+
+def _ones_after(coded: bytearray, bits: int) -> bytes:
+    """The last byte filled up with ones."""
+    if spare := -bits % 8:
+        coded[-1] |= (1 << spare) - 1
+    return bytes(coded)
+
+
+def _first_dc(n: int) -> bytes:
+    """Coefficients without low bits are all 1: a difference of 1 (101), then n - 1 of 0."""
+    coded = bytearray(-(-(n + 2) // 8))
+    coded[0] = 0xA0
+    return _ones_after(coded, n + 2)
+
+
+def _first_ac(n: int) -> bytes:
+    """63 n times "category 1, positive" (01)."""
+    bits = 126 * n
+    coded = bytearray(b"\x55" * -(-bits // 8))
+    return _ones_after(coded, bits)
+
+
+def _run_code(run: int) -> np.ndarray:
+    size = run.bit_length() - 1
+    return _bits(AC_SYMBOLS[size << 4] + (format(run - (1 << size), f"0{size}b") if size else ""))
 
 
 def encode(payload: bytes) -> bytes:
@@ -77,44 +104,45 @@ def encode(payload: bytes) -> bytes:
     data.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
     at = 0
     for component, (h, v) in enumerate(SAMPLING, 1):
-        blocks = data[at : at + units * h * v]
-        at += len(blocks)
-        n = len(blocks)
-        # Coefficients without low bits are all 1: a difference of 1, then of 0; and 63 times "category 1, positive".
-        parts.append(_scan(component, 0, 0, 0, LOW_BITS, np.concatenate([_bits("101"), np.zeros(n - 1, np.uint8)])))
-        parts.append(_scan(component, 1, 63, 0, LOW_BITS, np.tile(_bits("01"), 63 * n)))
-        planes = np.unpackbits(np.ascontiguousarray(blocks[:, :, None]), axis=2)  # the highest bit first
-        for low in range(LOW_BITS - 1, -1, -1):
-            plane = planes[:, :, LOW_BITS - 1 - low]
-            parts.append(_scan(component, 0, 0, low + 1, low, plane[:, 0]))
-            bits = []
-            for start in range(0, n, LONGEST_RUN):
-                run = min(LONGEST_RUN, n - start)
-                size = run.bit_length() - 1
-                bits += [_bits(AC_SYMBOLS[size << 4] + (format(run - (1 << size), f"0{size}b") if size else "")), plane[start : start + run, 1:].reshape(-1)]
-            parts.append(_scan(component, 1, 63, low + 1, low, np.concatenate(bits)))
+        n = units * h * v
+        blocks = data[at : at + n]
+        at += n
+        parts += [_scan(component, 0, 0, 0, LOW_BITS), _stuffed(_first_dc(n)), _scan(component, 1, 63, 0, LOW_BITS), _stuffed(_first_ac(n))]
+        # A row of bits for each plane, the highest first; all eight are packed together.
+        planes = np.unpackbits(blocks.reshape(-1, 1), axis=1).T.reshape(LOW_BITS, n, 64)
+        dc = np.packbits(np.concatenate([planes[:, :, 0], np.ones((LOW_BITS, -n % 8), np.uint8)], axis=1), axis=1)
+        pieces = []
+        for start in range(0, n, LONGEST_RUN):
+            run = min(LONGEST_RUN, n - start)
+            pieces += [np.broadcast_to(code := _run_code(run), (LOW_BITS, len(code))), planes[:, start : start + run, 1:].reshape(LOW_BITS, -1)]
+        pieces.append(np.ones((LOW_BITS, -sum(x.shape[1] for x in pieces) % 8), np.uint8))
+        ac = np.packbits(np.concatenate(pieces, axis=1), axis=1)
+        for i, low in enumerate(range(LOW_BITS - 1, -1, -1)):
+            parts += [_scan(component, 0, 0, low + 1, low), _stuffed(dc[i].tobytes()), _scan(component, 1, 63, low + 1, low), _stuffed(ac[i].tobytes())]
     return b"".join([*parts, b"\xff\xd9"])
 
 
 class _Reader:
-    """Bits of one scan, one after another."""
+    """Bits of one scan, one after another: as bytes, and as an array of bits."""
+
+    def __init__(self, coded: bytes, bits: np.ndarray):
+        self.coded, self.bits, self.at = coded, bits, 0
 
-    def __init__(self, bits: np.ndarray, at: int = 0):
-        self.bits, self.at = bits, at
+    def _ahead(self, n: int) -> int:
+        """The next n <= 32 bits, ones past the end."""
+        start, shift = self.at >> 3, self.at & 7
+        return int.from_bytes(self.coded[start : start + 5].ljust(5, b"\xff"), "big") >> (40 - shift - n) & ((1 << n) - 1)
 
     def take(self, n: int) -> int:
-        value = 0
-        for b in self.bits[self.at : self.at + n]:
-            value = value << 1 | int(b)
+        value = self._ahead(n) if n else 0
         self.at += n
         return value
 
     def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        value = 0
+        ahead = self._ahead(16)
         for length in range(1, 17):
-            value = value << 1 | int(self.bits[self.at])
-            self.at += 1
-            if (found := codes.get((length, value))) is not None:
+            if (found := codes.get((length, ahead >> (16 - length)))) is not None:
+                self.at += length
                 return found
         raise ValueError("bad Huffman code")
 
@@ -173,9 +201,25 @@ def _ac_first(c: np.ndarray, r: _Reader, codes: dict, first: int, last: int, low
             k += 1
 
 
+def _only_runs(r: _Reader, codes: dict, blocks: int, width: int) -> np.ndarray | None:
+    """Correction bits of a refinement scan that is nothing but end-of-band runs over blocks without zeros."""
+    parts, done = [], 0
+    while done < blocks:
+        rs = r.symbol(codes)
+        if rs & 15 or rs >> 4 == 15:
+            return None
+        run = (1 << (rs >> 4)) + r.take(rs >> 4)
+        if run > blocks - done or r.at + run * width > len(r.bits):
+            return None
+        parts.append(r.bits[r.at : r.at + run * width])
+        r.at += run * width
+        done += run
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def _ac_refine(c: np.ndarray, r: _Reader, codes: dict, first: int, last: int, low: int) -> None:
+    """Any refinement scan, bit by bit."""
     one = 1 << low
-    width = last - first + 1
     i = 0
 
     def correct(block: np.ndarray, k: int) -> None:
@@ -189,18 +233,11 @@ def _ac_refine(c: np.ndarray, r: _Reader, codes: dict, first: int, last: int, lo
             skip, size = rs >> 4, rs & 15
             if size == 0 and skip < 15:
                 run = (1 << skip) + r.take(skip)
-                if k == first and c[i : i + run, first : last + 1].all() and run <= len(c) - i:
-                    # A run over blocks without zeros: correction bits only.
-                    bits = r.bits[r.at : r.at + run * width].reshape(run, width).astype(np.int32)
-                    r.at += run * width
-                    part = c[i : i + run, first : last + 1]
-                    part += np.sign(part) * (bits << low)
-                else:
-                    for block in c[i : i + run]:
-                        for j in range(k, last + 1):
-                            if block[j]:
-                                correct(block, j)
-                        k = first
+                for block in c[i : i + run]:
+                    for j in range(k, last + 1):
+                        if block[j]:
+                            correct(block, j)
+                    k = first
                 i += run - 1
                 break
             new = (one if r.take(1) else -one) if size else 0
@@ -218,10 +255,47 @@ def _ac_refine(c: np.ndarray, r: _Reader, codes: dict, first: int, last: int, lo
         i += 1
 
 
+class _Plane:
+    """Coefficients of a component. Corrections of blocks without zeros wait until they can be added together."""
+
+    def __init__(self, blocks: int):
+        self.c = np.zeros((blocks, 64), np.int32)
+        self.waiting: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        self.full: set[tuple[int, int]] = set()
+
+    def has_no_zeros(self, band: tuple[int, int]) -> bool:
+        """What is not zero stays so in refinement, so that the answer yes holds for all later scans."""
+        if band not in self.full and self.c[:, band[0] : band[1] + 1].all():
+            self.full.add(band)
+        return band in self.full
+
+    def settle(self) -> np.ndarray:
+        for (first, last), scans in self.waiting.items():
+            part = self.c[:, first : last + 1]
+            if [low for low, _ in scans] == list(range(LOW_BITS - 1, -1, -1)):
+                more = np.packbits(np.stack([b for _, b in scans]), axis=0).reshape(part.shape)
+            else:
+                more = sum(b.astype(np.int32) << low for low, b in scans).reshape(part.shape)
+            if first == 0 or (part > 0).all():  # bits of DC coefficients are those of two's complement
+                part += more
+            else:
+                part += np.sign(part) * more.astype(np.int32)
+        self.waiting.clear()
+        return self.c
+
+    def correct(self, first: int, last: int, low: int, bits: np.ndarray) -> None:
+        self.waiting.setdefault((first, last), []).append((low, bits))
+
+
+#: The end of entropy-coded bytes: a marker.
+MARKER = re.compile(rb"\xff[^\x00]")
+
+
 def decode(data: bytes) -> tuple[int, int, list[np.ndarray], list[tuple[int, int]]]:
     """Height, width, for each component its coefficients (a row of 64 in zigzag order for each block) and its sampling."""
     at, codes, planes, sampling = 2, {}, [], []
     height = width = 0
+    scans: list[tuple[bytes, dict, bytes]] = []
     while at < len(data):
         marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big") if data[at + 1] != 0xD9 else 0
         body = data[at + 4 : at + 2 + size]
@@ -229,7 +303,7 @@ def decode(data: bytes) -> tuple[int, int, list[np.ndarray], list[tuple[int, int
         if marker == 0xD9:
             break
         if marker == 0xC4:
-            i = 0
+            i, codes = 0, dict(codes)
             while i < len(body):
                 counts = body[i + 1 : i + 17]
                 codes[body[i]] = _codes(counts, body[i + 17 : i + 17 + sum(counts)])
@@ -239,27 +313,33 @@ def decode(data: bytes) -> tuple[int, int, list[np.ndarray], list[tuple[int, int
             sampling = [(body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(n)]
             most = [max(s[j] for s in sampling) for j in (0, 1)]
             units = -(-width // (8 * most[0])) * -(-height // (8 * most[1]))
-            planes = [np.zeros((units * h * v, 64), np.int32) for h, v in sampling]
+            planes = [_Plane(units * h * v) for h, v in sampling]
         elif marker == 0xDA:
-            component, tables, first, last, levels = body[1], body[2], body[3], body[4], body[5]
-            end = at
-            while True:
-                end = data.index(b"\xff", end)
-                if data[end + 1]:
-                    break
-                end += 2
-            bits = np.unpackbits(np.frombuffer(data[at:end].replace(b"\xff\x00", b"\xff"), np.uint8))
+            end = MARKER.search(data, at).start()
+            scans.append((body, codes, data[at:end].replace(b"\xff\x00", b"\xff")))
             at = end
-            c, r, high, low = planes[component - 1], _Reader(bits), levels >> 4, levels & 15
-            if first == 0 and high:
-                c[:, 0] |= bits[: len(c)].astype(np.int32) << low
-            elif first == 0:
-                _dc_first(c, r, codes[tables >> 4], low)
-            elif high:
-                _ac_refine(c, r, codes[0x10 | tables & 15], first, last, low)
+    bits = np.unpackbits(np.frombuffer(b"".join([coded for _, _, coded in scans]), np.uint8))
+    start = 0
+    for body, codes, coded in scans:
+        component, tables, first, last, levels = body[1], body[2], body[3], body[4], body[5]
+        plane, high, low = planes[component - 1], levels >> 4, levels & 15
+        r = _Reader(coded, bits[start : start + 8 * len(coded)])
+        start += 8 * len(coded)
+        ac = codes.get(0x10 | tables & 15, {})
+        if first == 0 and high:
+            plane.correct(0, 0, low, r.bits[: len(plane.c)])
+        elif first == 0:
+            _dc_first(plane.c, r, codes[tables >> 4], low)
+        elif not high:
+            _ac_first(plane.c, r, ac, first, last, low)
+        else:
+            found = _only_runs(r, ac, len(plane.c), last - first + 1) if plane.has_no_zeros((first, last)) else None
+            if found is not None:
+                plane.correct(first, last, low, found)
             else:
-                _ac_first(c, r, codes[0x10 | tables & 15], first, last, low)
-    return height, width, planes, sampling
+                r.at = 0
+                _ac_refine(plane.settle(), r, ac, first, last, low)
+    return height, width, [p.settle() for p in planes], sampling
 
 
 def payload_of(planes: list[np.ndarray], length: int) -> bytes:
@@ -276,7 +356,7 @@ INVERSE_2D = np.kron(INVERSE, INVERSE)[:, ZIGZAG].T.copy()
 
 
 def rgb(height: int, width: int, planes: list[np.ndarray], sampling: list[tuple[int, int]]) -> np.ndarray:
-    """Tensor (height, width, 3) of bytes; all quantisers are 1."""
+    """Tensor (height, width, 3) of bytes, laid out by channel; all quantisers are 1."""
     most = [max(s[j] for s in sampling) for j in (0, 1)]
     across, down = width // (8 * most[0]), height // (8 * most[1])
     full = []
@@ -286,5 +366,9 @@ def rgb(height: int, width: int, planes: list[np.ndarray], sampling: list[tuple[
             samples = samples.repeat(most[1] // v, axis=0).repeat(most[0] // h, axis=1)
         full.append(samples)
     y, cb, cr = full[0] + 128, full[1], full[2]
-    out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    out = np.empty((3, *y.shape), np.float32)
+    np.add(y, 1.402 * cr, out=out[0])
+    np.subtract(y, 0.344136 * cb + 0.714136 * cr, out=out[1])
+    np.add(y, 1.772 * cb, out=out[2])
+    np.rint(out, out=out)
+    return np.clip(out, 0, 255, out=out).astype(np.uint8).transpose(1, 2, 0)

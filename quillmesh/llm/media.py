@@ -31,8 +31,9 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 def feature(tensor: np.ndarray) -> str:
     """Height, width, then mean and share of saturated samples of R, G and B."""
-    means = tensor.mean(axis=(0, 1), dtype=np.float64)
-    full = (tensor == 255).mean(axis=(0, 1))
+    channels = tensor.transpose(2, 0, 1).reshape(3, -1)
+    means = channels.sum(axis=1, dtype=np.int64) / channels.shape[1]
+    full = [np.count_nonzero(c == 255) / channels.shape[1] for c in channels]
     return f"{tensor.shape[0]}x{tensor.shape[1]};" + ",".join(f"{m:.3f}" for m in means) + ";" + ",".join(f"{s:.4f}" for s in full)
 
 
