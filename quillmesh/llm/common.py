@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,16 +24,24 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the folder that the cluster shares.
-
-    The session's ``spark.checkpoint.dir`` is used; a folder of our own is set only where none is.
-    """
+    """Cuts the lineage with files in the folder that the cluster shares: the session's ``spark.checkpoint.dir``, which must be set."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words of a text as UTF-8."""
     return text.encode().lower().split() if text else []

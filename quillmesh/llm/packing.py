@@ -34,13 +34,12 @@ Plan = list[tuple[tuple[int, ...], int]]
 class Encoder:
     """Token ids of texts, by white-space separated chunks, whose ids are kept (a bounded number; then it starts anew).
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its chunks in order. New chunks
+    The tokenizer drops white space and never joins what it separates, and special tokens hold none, so a text's ids are those of its chunks in order. New chunks
     are encoded many at a time, joined by spaces, and told apart by the tokens that end words, or by offsets.
     """
 
     def __init__(self, path: str, keep: int = 500_000, joined: int = 128):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keep, self.joined = keep, joined
         self.known: dict[bytes, bytes] = {}
         #: Whether a token ends a word.
@@ -259,11 +258,14 @@ def slots(found: Plan) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "sequence", "offset"), table.T, strict=True))
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """rows with the rank (from 0) of each among those of its length."""
+def bucketed(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to as many buckets as a shuffle has tasks."""
     n = partitions(rows.sparkSession)
-    held = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n)))
-    held = checkpoint(held)
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n)))
+
+
+def ranked(held: DataFrame) -> DataFrame:
+    """Bucketed rows with the rank (from 0) of each among those of its length."""
     counts = held.groupBy("_bucket", "length").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n"))
     local = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece", "ids_crc32"))
@@ -272,9 +274,10 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, room: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset."""
-    rows = ranked(pieces(docs, path, room, end, with_ids))
+    held = checkpoint(bucketed(pieces(docs, path, room, end, with_ids)))
+    rows = ranked(held)
     counts = np.zeros(room + 1, np.int64)
-    for n, c in rows.groupBy("length").count().collect():  # a row for each length
+    for n, c in held.groupBy("length").count().collect():  # a row for each length
         counts[n] = c
     shared = docs.sparkSession.sparkContext.broadcast(slots(plan(counts, room)))
     names = [c for c in rows.columns if c != "rank"]

@@ -7,7 +7,7 @@ copies of one passage count once) whose share reaches ``generalise`` are general
 stand in a document that holds the entity; documents without it keep the term. Counts of terms cover all documents.
 
 Offsets are code points. Null and empty texts have no spans; repeated rows get equal results; an empty table gives no rows; more
-columns of the input are left alone (``sanitise`` keeps them). Documents are told apart by doc_id and text.
+columns of the input are left alone, whatever their names (``sanitise`` keeps them). Documents are told apart by doc_id and text.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import checkpoint, per_batch
+from quillmesh.llm.common import checkpoint, per_batch, unused
 
 KINDS = ("email", "ip", "card", "phone")
 TERM, REMOVED = "term", "term_removed"
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Tried at the start of a run of digits only: what fails there fails all along the run, and a match takes runs whole.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -277,12 +278,14 @@ def masked(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 def sanitise(docs: DataFrame, **how) -> DataFrame:
     """docs with spans masked in text; the other columns stay."""
     found = find(docs, **how).where("size(base) > 0 or size(added) > 0").dropDuplicates(["doc_id", "text_key"])
-    spans = found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.concat(F.transform("base", lambda s: F.struct(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), "added").alias("_spans"))
-    joined = docs.withColumn("_own", F.xxhash64("text")).join(spans, (F.col("_own") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").drop("_own", "_doc", "_key")
     names = docs.columns
+    own, doc, key, hidden = (unused(c, names) for c in ("_own", "_doc", "_key", "_spans"))
+    named = F.transform("base", lambda s: F.struct(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    spans = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.concat(named, "added").alias(hidden))
+    joined = docs.withColumn(own, F.xxhash64("text")).join(spans, (F.col(own) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [masked(t, [(s["kind"], s["start"], s["end"]) for s in spans] if spans else []) for t, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
+        texts = [masked(t, [(s["kind"], s["start"], s["end"]) for s in spans] if spans else []) for t, spans in zip(b.column("text").to_pylist(), b.column(hidden).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    return joined.select(*names, "_spans").mapInArrow(per_batch(run), docs.schema)
+    return joined.select(*names, hidden).mapInArrow(per_batch(run), docs.schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import checkpoint, pack, partitions, per_batch, unpack, words_of
+from quillmesh.llm.common import checkpoint, pack, partitions, per_batch, unpack, unused, words_of
 from quillmesh.llm.graph import components
 
 GOLAY, GOLAY_BITS, GOLAY_RADIUS = 0b101011100011, 23, 3  # generator polynomial, length, covering radius
@@ -534,4 +534,6 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     """
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"]
     kept = _grouped(docs, similarity, shingle).groupBy("root").agg(first.alias("_kept")).select("_kept")
-    return docs.withColumn("_own", _row()).join(kept, F.col("_own") == F.col("_kept"), "left_semi").dropDuplicates(["_own"]).drop("_own")
+    own = unused("_own", docs.columns)
+    mark = unused("_mark", [*docs.columns, own])
+    return docs.withColumn(own, _row()).join(kept.withColumnRenamed("_kept", mark), F.col(own) == F.col(mark), "left_semi").dropDuplicates([own]).drop(own)

@@ -31,8 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillmesh.llm.common import checkpoint, pack, partitions, unpack
 
@@ -101,9 +102,10 @@ def anchored(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return x, first, last, h ^ (h >> np.uint64(29))
 
 
-NAMES = ("shard", "bucket", "docs", "blob")
-TYPES = [pa.int64(), pa.int32(), pa.list_(pa.struct([("doc_id", pa.int64()), ("length", pa.int64()), ("rest", pa.string())])), pa.binary()]
-SCHEMA = "shard long, bucket int, docs array<struct<doc_id:long,length:long,rest:string>>, blob binary"
+NAMES = ("shard", "bucket", "blob")
+TYPES = [pa.int64(), pa.int32(), pa.binary()]
+SCHEMA = "shard long, bucket int, blob binary"
+SHARDS = "shard long, docs array<struct<doc_id:long,length:long>>, blob binary, rest binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -118,28 +120,42 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarr
             yield b, order[edges[b] : edges[b + 1]]
 
 
-def _gather():
-    """From (doc_id, text, rest): a row for each shard (docs and their bytes)."""
-
-    def close(shard: int, held: list[tuple[int | None, bytes, str | None]]) -> pa.RecordBatch:
-        held.sort(key=lambda d: FIRST if d[0] is None else d[0])
-        data = b"".join([d[1] for d in held])
-        rows = [(shard, -1, [{"doc_id": d, "length": len(t), "rest": r} for d, t, r in held], pack(np.frombuffer(data, np.uint8)))]
-        return _batch(rows)
+def _gather(others: bool):
+    """From rows (doc_id, text, other columns): a row for each shard (docs, their bytes, and the other columns as an Arrow stream)."""
+    docs_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("length", pa.int64())]))
+
+    def close(shard: int, held: list[tuple[int | None, bytes]], parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        order = sorted(range(len(held)), key=lambda i: FIRST if held[i][0] is None else held[i][0])
+        blob = pack(np.frombuffer(b"".join([held[i][1] for i in order]), np.uint8))
+        rest = None
+        if others:
+            table = pa.Table.from_batches(parts).take(order)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            rest = sink.getvalue().to_pybytes()
+        docs = [{"doc_id": held[i][0], "length": len(held[i][1])} for i in order]
+        arrays = [pa.array([shard]), pa.array([docs], docs_type), pa.array([blob], pa.binary()), pa.array([rest], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["shard", "docs", "blob", "rest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, bytes, str | None]] = []
+        held: list[tuple[int | None, bytes]] = []
+        parts: list[pa.RecordBatch] = []
         size = 0
         for b in batches:
-            for doc_id, text, rest in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "rest")), strict=True):
-                held.append((doc_id, (text or "").encode(), rest))
+            begin = 0
+            rest = b.select(range(2, b.num_columns))
+            for i, (doc_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                held.append((doc_id, (text or "").encode()))
                 size += len(held[-1][1])
                 if size >= SHARD_BYTES or len(held) >= SHARD_DOCS:
-                    yield close(task << 32 | made, held)
-                    held, size, made = [], 0, made + 1
+                    yield close(task << 32 | made, held, [*parts, rest.slice(begin, i + 1 - begin)])
+                    held, parts, size, made, begin = [], [], 0, made + 1, i + 1
+            if begin < b.num_rows:
+                parts.append(rest.slice(begin))
         if held:
-            yield close(task << 32 | made, held)
+            yield close(task << 32 | made, held, parts)
 
     return run
 
@@ -163,7 +179,7 @@ def _hashes(buckets: int):
             for i in range(batch.num_rows):
                 shard, docs, blob = (batch.column(c)[i].as_py() for c in ("shard", "docs", "blob"))
                 hashes = anchored(unpack(blob, "u1")[0].tobytes(), np.array([d["length"] for d in docs], np.int64))[3]
-                rows = [(shard, b, None, pack(short(hashes[at]), np.diff(at, prepend=0).astype(np.uint32))) for b, at in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64), buckets)]
+                rows = [(shard, b, pack(short(hashes[at]), np.diff(at, prepend=0).astype(np.uint32))) for b, at in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64), buckets)]
                 if rows:
                     yield _batch(rows)
 
@@ -178,7 +194,7 @@ def _buckets(treat):
         for b in batches:  # in the order of bucket
             for bucket, shard, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "shard", "blob")), strict=True):
                 if bucket < 0:
-                    yield _batch([(shard, bucket, None, blob)])
+                    yield _batch([(shard, bucket, blob)])
                     continue
                 if bucket != now and rows:
                     yield _batch(treat(now, rows))
@@ -211,8 +227,8 @@ def _twice(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
         own = state[at : at + len(ordinal)]
         at += len(ordinal)
         if own.any():
-            out.append((shard, bucket, None, pack(ordinal[own > 0].astype(np.uint32), own[own > 0])))
-    return out or [(-1, bucket, None, None)]
+            out.append((shard, bucket, pack(ordinal[own > 0].astype(np.uint32), own[own > 0])))
+    return out or [(-1, bucket, None)]
 
 
 def suffix_array(words: np.ndarray, n: int, depth: int) -> np.ndarray:
@@ -341,7 +357,7 @@ def _local(buckets: int):
         of = np.repeat(again, size)
         text = np.frombuffer(data, np.uint8)
         later = repeated_within(text, starts)
-        rows = [(shard, -1 - (shard * 0x9E3779B1 >> 20) % 1024, None, pack(*(x.astype(np.int64) for x in runs_of(starts[later]))))]
+        rows = [(shard, -1 - (shard * 0x9E3779B1 >> 20) % 1024, pack(*(x.astype(np.int64) for x in runs_of(starts[later]))))]
         sent = ~later & (state[of] > 1)
         starts, of = starts[sent], of[sent]
         if len(starts):
@@ -351,7 +367,7 @@ def _local(buckets: int):
             ids = np.array([FIRST if d["doc_id"] is None else d["doc_id"] for d in docs], np.int64)
             doc = ids[np.searchsorted(np.cumsum(lengths), at, side="right")]
             for b, i in _by_bucket((hashes[of[begin]] % np.uint64(buckets)).astype(np.int64), buckets):
-                rows.append((shard, b, None, pack(doc[i], at[i], count[i], text[spread(at[i], count[i] + LENGTH - 1)])))
+                rows.append((shard, b, pack(doc[i], at[i], count[i], text[spread(at[i], count[i] + LENGTH - 1)])))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,9 +440,9 @@ def _merge(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
         mine = slice(start, start + size)
         later = turns[mine] != earliest[np.searchsorted(index, own[mine])]
         if later.any():
-            out.append((shard, bucket, None, pack(*(x.astype(np.int64) for x in runs_of(np.sort(spread(positions, n)[later]))))))
+            out.append((shard, bucket, pack(*(x.astype(np.int64) for x in runs_of(np.sort(spread(positions, n)[later]))))))
         start += size
-    return out or [(-1, bucket, None, None)]
+    return out or [(-1, bucket, None)]
 
 
 def _covered(docs: list[dict], data: bytes, marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -439,11 +455,13 @@ def _covered(docs: list[dict], data: bytes, marks: list[bytes]) -> tuple[np.ndar
     return np.cumsum(change[:-1]) > 0, np.cumsum([d["length"] for d in docs])
 
 
-def _finish(emit, schema: pa.Schema):
+def _finish(emit):
+    """Runs emit(docs, rest, for each document its runs, its removed bytes and what is left) for each shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                docs, blob, marks = (b.column(c)[i].as_py() for c in ("docs", "blob", "found"))
+                docs, blob, marks, rest = (b.column(c)[i].as_py() for c in ("docs", "blob", "found", "rest"))
                 data = unpack(blob, "u1")[0].tobytes()
                 gone, ends = _covered(docs, data, marks)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -452,59 +470,63 @@ def _finish(emit, schema: pa.Schema):
                 opens = np.concatenate([[False], gone[1:] & ~gone[:-1]]) if len(gone) else gone
                 opened = np.concatenate([[0], np.cumsum(opens)])
                 rows = []
-                for d, s, e in zip(docs, begin.tolist(), ends.tolist(), strict=True):
+                for s, e in zip(begin.tolist(), ends.tolist(), strict=True):
                     # A run that goes on from the document before counts as one that opens here.
                     spans = int(opened[e] - opened[s]) + int(e > s and gone[s] and not opens[s])
-                    rows.append(emit(d, spans, e - s - int(left[e] - left[s]), kept[int(left[s]) : int(left[e])]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows.append((spans, e - s - int(left[e] - left[s]), kept[int(left[s]) : int(left[e])]))
+                yield emit(docs, rest, rows)
 
     return run
 
 
-def _marked(docs: DataFrame, rest: Column | None = None) -> DataFrame:
-    """Shards with docs, blob (their bytes) and found (marks); rest is a string that goes with each document."""
+def _marked(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """Shards with docs, blob (their bytes), rest (their other columns) and found (marks)."""
     spark = docs.sparkSession
     n = partitions(spark)
 
     def dealt(rows: DataFrame, treat) -> DataFrame:
-        own = rows.select("bucket", "shard", "blob").repartition(n, "bucket").sortWithinPartitions("bucket")
+        own = rows.repartition(n, "bucket").sortWithinPartitions("bucket")
         return own.mapInArrow(_buckets(treat), SCHEMA).where("shard >= 0")
 
     def with_found(found: DataFrame) -> DataFrame:
         listed = found.groupBy("shard").agg(F.collect_list("blob").alias("found"))
         return shards.join(listed, "shard", "left")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None) if rest is None else rest).cast("string").alias("rest"))
-    shards = checkpoint(rows.mapInArrow(_gather(), SCHEMA).select("shard", "docs", "blob"))
-    seen = with_found(dealt(shards.mapInArrow(_hashes(n), SCHEMA), _twice)).withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
+    # Columns are told apart by place, so that names may clash.
+    rows = docs.select(F.col("doc_id").cast("long").alias("_0"), F.col("text").alias("_1"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(others, 2)))
+    shards = checkpoint(rows.mapInArrow(_gather(bool(others)), SHARDS))
+    seen = with_found(dealt(shards.select("shard", "docs", "blob").mapInArrow(_hashes(n), SCHEMA), _twice)).withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
     # Segments are only ever in shuffle files; tasks that lose them start from the shards again.
     local = seen.select("shard", "docs", "blob", "found").mapInArrow(_local(FINER * n), SCHEMA)
     marks = dealt(local, _merge)
-    return with_found(marks).select("docs", "blob", "found")
+    return with_found(marks).select("docs", "blob", "found", "rest")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes) and a checksum of what is left."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
-    def emit(doc: dict, spans: int, removed: int, kept: bytes) -> tuple:
-        return doc["doc_id"], doc["length"], removed, spans, hashlib.sha256(kept).hexdigest()
+    def emit(docs: list[dict], rest: bytes | None, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        spans, removed, kept = zip(*rows, strict=True)
+        arrays = [*(pa.array([d[c] for d in docs], pa.int64()) for c in ("doc_id", "length")), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _marked(docs).mapInArrow(_finish(emit, schema), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _marked(docs).mapInArrow(_finish(emit), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with what is left as text, and n_removed, the number of bytes removed.
+def deduplicated(docs: DataFrame, removed: str | None = None) -> DataFrame:
+    """docs with what is left as text; with ``removed``, a column of that name has the number of bytes removed.
 
-    Characters of which only some bytes are left go as a whole. The other columns stay; they travel as JSON.
+    Characters of which only some bytes are left go as a whole. The other columns stay as they are. Null texts become empty.
     """
-    others = [c for c in docs.columns if c != "text"]
-    schema = pa.schema([("rest", pa.string()), ("text", pa.string()), ("n_removed", pa.int64())])
-
-    def emit(doc: dict, spans: int, removed: int, kept: bytes) -> tuple:
-        return doc["rest"], kept.decode(errors="ignore"), removed
-
-    marked = _marked(docs, F.to_json(F.struct(*others), {"ignoreNullFields": "false"}))
-    found = marked.mapInArrow(_finish(emit, schema), "rest string, text string, n_removed long")
-    kinds = docs.select(*others).schema
-    return found.withColumn("rest", F.from_json("rest", kinds)).select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns), "n_removed")
+    names = docs.columns
+    others = tuple(c for c in names if c != "text")
+    more = [removed] if removed else []
+
+    def emit(found: list[dict], rest: bytes, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        columns = iter(pa.ipc.open_stream(rest).read_all().combine_chunks().columns)
+        texts = pa.array([k.decode(errors="ignore") for _, _, k in rows], pa.string())
+        arrays = [texts if c == "text" else next(columns).combine_chunks() for c in names]
+        return pa.RecordBatch.from_arrays([*arrays, *(pa.array([r[1] for r in rows], pa.int64()) for _ in more)], names=[*names, *more])
+
+    schema = docs.schema if removed is None else StructType([*docs.schema.fields, StructField(removed, LongType())])
+    return _marked(docs, others).mapInArrow(_finish(emit), schema)

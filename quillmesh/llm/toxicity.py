@@ -5,9 +5,10 @@ between, each counted once. FTRL-proximal keeps a learning rate for each coordin
 weights at exactly zero; what is left is a few thousand (index, weight) pairs, broadcast to score whole texts.
 
 Training reads a bounded sample of labelled documents (``max_rows``, those with the least hash of doc_id), chosen
-alike at every size; its features go to one task. Null and empty texts have only the bias, so they get a score as well;
-labels that are null don't count; without any usable label all scores are 0.5. Equal texts get equal scores, labelled
-or not; an empty table gives no rows; more columns of the input are left alone.
+alike at every size; its features go to one task, a row for each doc_id. Null and empty texts have only the bias, so they get a score as well;
+labels that are null don't count; where labels leave no weight but the bias, ``told_apart`` is false and all scores are equal (0.5 without any
+label), and ``keep_harmless`` keeps every row. Equal texts get equal scores, labelled
+or not; an empty table gives no rows; more columns of the input are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import learnable, per_batch
+from quillmesh.llm.common import learnable, per_batch, unused
 
 BITS = 20
 STEMS = (3, 4, 5)
@@ -78,7 +79,7 @@ def train(slots: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha: f
 
 def _extract(b: pa.RecordBatch) -> pa.RecordBatch:
     packed = [np.append(np.unique(feature_slots(t)), 1 << BITS).astype(np.uint32).tobytes() for t in b.column("text").to_pylist()]
-    return pa.RecordBatch.from_arrays([b.column("label"), pa.array(packed, pa.binary())], names=["label", "slots"])
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(packed, pa.binary())], names=["doc_id", "label", "slots"])
 
 
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,15 +101,22 @@ def fit(docs: DataFrame, marks: DataFrame, max_rows: int = 16_000) -> dict[str,
     """
     there = marks.where("label in (0, 1)").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = there.select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    features = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(per_batch(_extract), "label int, slots binary")
+    # Of rows that repeat a doc_id, the one with the least hash of the text is learned from, so that the bound holds.
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(per_batch(_extract), "doc_id long, label int, slots binary")
+    features = joined.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("slots").alias("mark"), "slots", "label")).alias("one")).select("one.label", "one.slots")
     found = features.repartition(1).mapInArrow(_train_task, "slot long, weight double").toPandas()
     return {"slot": found["slot"].to_numpy(np.int64), "weight": found["weight"].to_numpy(np.float64)}
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str]) -> DataFrame:
-    """columns of docs and score, the probability of label 1."""
+def told_apart(model: dict[str, np.ndarray]) -> bool:
+    """Whether any feature has a weight."""
+    return bool((model["slot"] < 1 << BITS).any())
+
+
+def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str], name: str = "score") -> DataFrame:
+    """columns of docs and the probability of label 1 as a column of that name, which docs don't have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*columns).schema.add("score", "double")
+    schema = docs.select(*columns).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((1 << BITS) + 1, np.float32)
@@ -116,13 +124,22 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str]) ->
         bias = float(table[1 << BITS])
         for b in batches:
             scores = []
-            for t in b.column("_text").to_pylist():
+            for t in b.column(len(columns)).to_pylist():
                 at = feature_slots(t)
                 at = np.unique(at[table[at] != 0])
                 scores.append(1 / (1 + np.exp(-np.clip(bias + table[at].sum(dtype=np.float64), -35, 35))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scores, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array(scores, pa.float64())], names=[*columns, name])
+
+    return docs.select(*columns, F.col("text").alias(unused("_text", columns))).mapInArrow(run, schema)
+
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+def keep_harmless(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Rows of docs whose score stays below the threshold; all of them if the labels don't tell any feature apart."""
+    model = fit(docs.withColumn("doc_id", F.col("doc_id").cast("long")), usable(labels))
+    if not told_apart(model):
+        return docs
+    name = unused("_toxicity", docs.columns)
+    return score(docs, model, docs.columns, name).where(F.col(name) < threshold).drop(name)
 
 
 def usable(labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
