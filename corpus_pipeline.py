@@ -1,7 +1,7 @@
 """Training-data pipeline: documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one gets it after it has been written and read again. All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, and any more that the input has, whatever their names. Empty tables pass all stages.
 """
 
 from __future__ import annotations
@@ -21,29 +21,34 @@ ROOM = 2048
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity stays below the threshold."""
-    model = toxicity.fit(docs, toxicity.usable(read(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, docs.columns).where(F.col("score") < TOXIC).drop("score")
+    """Documents whose toxicity stays below the threshold. Null and empty texts are judged like others; without labels that tell anything all stay."""
+    return toxicity.keep_harmless(docs, read(spark, sf_dir, "labels"), TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies. Null and empty texts are one group; of rows equal in doc_id and text one stays."""
     return simhash.one_of_each(docs, similarity=SIMILARITY, shingle=SHINGLE)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs whose n_chars, if there is one, is that of the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without byte strings that are found earlier."""
-    found = suffix.deduplicated(docs).drop("n_removed")
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents without byte strings that are found earlier. Every row stays; null texts become empty."""
+    return _counted(suffix.deduplicated(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data, and terms that reveal it, masked."""
-    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents with personal data, and terms that reveal it, masked. Every row stays; null texts stay null."""
+    return _counted(pii.sanitise(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece in the packed sequences."""
+    """The place of each piece in the packed sequences. Null and empty texts give a piece of their own."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), room=ROOM)
 
 
