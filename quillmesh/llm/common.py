@@ -15,9 +15,21 @@ MASK64 = (1 << 64) - 1
 
 
 def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows that go to Python at a time. Documents can be long, and a batch is held several times on its way.
+ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``ROWS`` rows, if they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks of a shuffle; the cluster's owner scales it with the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

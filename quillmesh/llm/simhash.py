@@ -533,7 +533,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     without doc_id stays only if no row of its group has one.
     """
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"]
-    kept = _grouped(docs, similarity, shingle).groupBy("root").agg(first.alias("_kept")).select("_kept")
+    kept = checkpoint(_grouped(docs, similarity, shingle).groupBy("root").agg(first.alias("_kept")).select("_kept"))
+    docs.sparkSession._jvm.System.gc()  # all else that the join wrote can go
     own = unused("_own", docs.columns)
     mark = unused("_mark", [*docs.columns, own])
     return docs.withColumn(own, _row()).join(kept.withColumnRenamed("_kept", mark), F.col(own) == F.col(mark), "left_semi").dropDuplicates([own]).drop(own)

@@ -27,7 +27,7 @@ BITS = 20
 STEMS = (3, 4, 5)
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_=+/\\~"
 CACHE: dict[bytes, tuple[int, ...]] = {}
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 GRAM, SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
