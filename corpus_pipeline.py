@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import packing, pii, simhash, suffix, toxicity
-from quillmesh.llm.common import checkpoint, read
+from quillmesh.llm.common import checkpoint, read, small_batches
 
 TOXIC = 0.3
 SIMILARITY, SHINGLE = 0.8, 5
@@ -27,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies. Null and empty texts are one group; of rows equal in doc_id and text one stays."""
+    small_batches(spark)
     return simhash.one_of_each(docs, similarity=SIMILARITY, shingle=SHINGLE)
 
 
@@ -39,16 +40,19 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without byte strings that are found earlier. Every row stays; null texts become empty."""
+    small_batches(spark)
     return _counted(suffix.deduplicated(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and terms that reveal it, masked. Every row stays; null texts stay null."""
+    small_batches(spark)
     return _counted(pii.sanitise(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece in the packed sequences. Null and empty texts give a piece of their own."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), room=ROOM)
 
 
