@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import holds
+
 #: A match's ids as decimal text.
 Entry = bytes
 
@@ -199,6 +201,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
 
 def _each(path: str, pattern: str, finish, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds(__name__, codec.cache_clear)
         own = codec(path, pattern)
         for batch in batches:
             for ids, texts in _groups(batch):

@@ -64,10 +64,21 @@ def learnable(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string"))
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(module: str, release: Callable[[], None] = lambda: None) -> None:
+    """Called by a task of a module: what other modules keep in this Python worker, which outlives tasks, is let go."""
+    for other in [m for m in _held if m != module]:
+        _held.pop(other)()
+    _held[module] = release
+
+
 def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for ``mapInArrow`` that treats each batch by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds(make.__module__, _held.get(make.__module__, lambda: None))
         for batch in batches:
             if batch.num_rows and (made := make(batch)) is not None:
                 yield made

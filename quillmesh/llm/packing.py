@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmesh.llm.common import checkpoint, partitions
+from quillmesh.llm.common import checkpoint, holds, partitions
 
 COARSE, PARTS = 128, 4
 Plan = list[tuple[tuple[int, ...], int]]
@@ -128,6 +128,7 @@ def pieces(docs: DataFrame, path: str, room: int = 2048, end: int = 0, with_ids:
                 yield (*row, np.frombuffer(part, "<u4").tolist()) if with_ids else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds(__name__, encoder.cache_clear)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)

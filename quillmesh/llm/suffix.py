@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillmesh.llm.common import checkpoint, pack, partitions, unpack
+from quillmesh.llm.common import checkpoint, holds, pack, partitions, unpack
 
 LENGTH, WINDOW = 100, 60
 CONTEXT = LENGTH - WINDOW + 1
-SHARD_BYTES, SHARD_DOCS = 2 << 20, 50_000
+SHARD_BYTES, SHARD_DOCS = 3 << 19, 50_000
 #: Buckets of segments for each task, which treats one after another.
-FINER = 4
+FINER = 6
 FIRST = -(1 << 63)  # stands for a missing doc_id
 PAD = bytes(256)
 PLACE_BITS = 20
@@ -139,6 +139,7 @@ def _gather(others: bool):
         return pa.RecordBatch.from_arrays(arrays, names=["shard", "docs", "blob", "rest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds(__name__)
         task, made = TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         parts: list[pa.RecordBatch] = []
@@ -175,6 +176,7 @@ def _hashes(buckets: int):
     """From shards: the hashes of their anchors' contexts, and the anchors' numbers, for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds(__name__)
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, docs, blob = (batch.column(c)[i].as_py() for c in ("shard", "docs", "blob"))
@@ -371,6 +373,7 @@ def _local(buckets: int):
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds(__name__)
         for b in batches:
             for i in range(b.num_rows):
                 yield _batch(one(*(b.column(c)[i].as_py() for c in ("shard", "docs", "blob", "found"))))
@@ -411,6 +414,7 @@ def _merge(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
         places.append(starts + shift)
         shift += len(text)
     own, text, place = np.concatenate(keys), np.concatenate(texts), np.concatenate(places)
+    del keys, texts, places
     offset = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
     turns = np.repeat(turn, count) << np.int64(8) | offset
     order = np.argsort(own)
@@ -434,7 +438,8 @@ def _merge(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
             edge = np.concatenate([[True], index[1:] != index[:-1]])
     begins = np.flatnonzero(edge)
     index, earliest = index[begins], np.minimum.reduceat(turns[order], begins)
-    out, start, segment = [], 0, 0
+    del order, edge, equal, place
+    out, start = [], 0
     for (shard, _), (_, positions, n, _) in zip(rows, parts, strict=True):
         size = int(n.sum())
         mine = slice(start, start + size)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import learnable, per_batch, unused
+from quillmesh.llm.common import holds, learnable, per_batch, unused
 
 BITS = 20
 STEMS = (3, 4, 5)
@@ -83,6 +83,7 @@ def _extract(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    holds(__name__, CACHE.clear)
     slots, labels = [], []
     for b in batches:
         slots += [np.frombuffer(x, np.uint32) for x in b.column("slots").to_pylist()]
@@ -119,6 +120,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str], nam
     schema = docs.select(*columns).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds(__name__, CACHE.clear)
         table = np.zeros((1 << BITS) + 1, np.float32)
         table[shared.value["slot"]] = shared.value["weight"]
         bias = float(table[1 << BITS])

@@ -119,6 +119,39 @@ def test_toxicity_learns(spark):
     assert got[1000].score == got[1001].score and 0 <= got[1000].score <= 1
     blind = by_id(toxicity.classify(docs, labels.limit(0)))
     assert {r.score for r in blind.values()} == {0.5}
+    kept = {r.doc_id for r in toxicity.keep_harmless(docs.withColumn("score", F.lit("own")).withColumn("_toxicity", F.lit(1)), labels).collect()}
+    assert kept == {i for i, r in got.items() if r.predicted == 0}
+    for few in (labels.limit(0), labels.limit(3), labels.withColumn("toxic", F.lit(None).cast("int"))):
+        assert toxicity.keep_harmless(docs, few).count() == docs.count()
+    assert toxicity.classify(docs.limit(0), labels).count() == 0
+    long = docs.union(spark.createDataFrame([(2000, "w1 vilebad " * 100_000), (3, "w1 w2"), (3, "w1 w2")], docs.schema))
+    found = toxicity.classify(long.withColumn("label", F.lit("x")), labels).collect()
+    assert len(found) == docs.count() + 3 and next(r for r in found if r.doc_id == 2000).predicted == 1
+
+
+def test_ftrl_against_a_scalar_loop():
+    rng = np.random.default_rng(11)
+    slots = [np.append(np.sort(rng.choice(40, 6, replace=False)), 1 << toxicity.BITS) for _ in range(80)]
+    labels = np.array([float(x[0] < 6) for x in slots])
+    at, weight = toxicity.train(slots, labels, epochs=3, alpha=0.3, beta=1.0, l1=0.5, l2=0.5)
+    z, n = Counter(), Counter()
+
+    def w(i):
+        if abs(z[i]) <= 0.5:
+            return 0.0
+        return -(z[i] - math.copysign(0.5, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.3 + 0.5)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for k in order.permutation(80):
+            own = {int(i): w(int(i)) for i in slots[k]}
+            g = 1 / (1 + math.exp(-sum(own.values()))) - labels[k]
+            for i, x in own.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3 * x
+                n[i] += g * g
+    want = {i: w(i) for i in z if w(i)}
+    assert set(at.tolist()) == set(want) and all(math.isclose(x, want[i], rel_tol=1e-9) for i, x in zip(at.tolist(), weight.tolist(), strict=True))
+    assert len(want) < 41
 
 
 @pytest.fixture(scope="module")
@@ -139,7 +172,33 @@ def test_bpe_is_the_library(spark, merges):
         ids = library.encode_ordinary(text or "")
         assert got[doc_id].ids == ids and bytes(got[doc_id].decoded) == (text or "").encode()
         assert short[doc_id].n_tokens == len(ids) and short[doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert short[doc_id].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.digests(empty(spark), path, public_tokenizers.PATTERN).count() == 0
+    again = spark.createDataFrame([(1, "same text", 3)] * 3 + [(None, "same text", 4)], "doc_id long, text string, ids int")
+    found = bpe.encode(again, path, public_tokenizers.PATTERN).collect()
+    assert len(found) == 4 and len({tuple(r.ids) for r in found}) == 1
+
+
+def test_bpe_decodes_ids(merges):
+    path, library = merges
+    own = bpe.Codec(path, public_tokenizers.PATTERN)
+    lists = [library.encode_ordinary(t) for t in ("one two", "", "\u65e5\u672c\U0001f600")]
+    assert own.decode([np.array(x, np.int64) for x in lists]) == [library.decode_bytes(x) for x in lists]
+    altered = [lists[0][0], *reversed(lists[0][1:]), 300]
+    assert own.decode([np.array(altered, np.int64)]) == [library.decode_bytes(altered)] != [b"one two"]
+
+
+def test_bpe_of_long_words(merges):
+    path, library = merges
+    own = bpe.Codec(path, public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    parts = ["hello", "the", "tion", "ing", "aa", "\u65e5\u672c", "\u0432", "b"]
+    words = ["x" * 5000, "=" * 4001, "ab" * 2000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "".join(rng.choice(parts) for _ in range(4000))]
+    for w, entry in own.learn(words).items():
+        assert entry.decode() == ",".join(map(str, library.encode_ordinary(w)))
+    for n in range(1030, 1060):  # against the short way
+        w = "".join(rng.choice("aab") for _ in range(n))
+        assert own._encode_long(w) == own._encode([w])[0]
 
 
 def test_language_model(spark):
@@ -366,9 +425,11 @@ def test_sharding(spark):
 
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    rows, df = corpus(spark)
+    library = Tokenizer.from_file(path)  # untouched
+    rows, _ = corpus(spark)
+    special = ["hello <|endoftext|>", "a<|endoftext|>b <|startoftext|><|endoftext|>, x.", " <|endoftext|>\u0301 e\u0301", "<|ENDOFTEXT|> <|endoftext |>", "x <|endoftext|>\u3000y\x1cz", "\u0130stanbul \ufb01 it's B.\u0301 c"]
+    rows = [*rows, *((7000 + i, t, "en", "x") for i, t in enumerate(special))]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("length", F.lit("mine")).repartition(5)
     got = packing.pack(df, path, room=256, with_ids=True).collect()
     want = {}
     for i, t, *_ in rows:
@@ -385,6 +446,8 @@ def test_packing(spark):
     total = sum(map(len, want.values()))
     assert len(places) <= math.ceil(total / 256) * 1.02 + 1
     assert packing.pack(empty(spark), path).count() == 0
+    twice = packing.pack(spark.createDataFrame([(1, "a b c")] * 5 + [(None, None)], "doc_id long, text string"), path, room=8).collect()
+    assert len(twice) == 6 and len({(r.sequence_id, r.offset) for r in twice}) == 6
 
 
 def test_packing_plan():
@@ -454,6 +517,31 @@ def test_media_edges(spark):
     assert next(r for r in got if r.doc_id == 3).payload_sha256 == hashlib.sha256(padded).hexdigest()
 
 
+def test_quality_em_against_a_scalar_loop():
+    rng = np.random.default_rng(5)
+    codes = np.unique(rng.integers(0, 3 ** len(quality.RULES), 30))
+    counts = rng.integers(1, 50, len(codes)).astype(float)
+    got = quality.estimate(codes, counts, rounds=7)
+    cast = [[code // 3**r % 3 for r in range(len(quality.RULES))] for code in codes.tolist()]
+    post = [1 / (1 + math.exp(-sum(0.5 * (v == 2) - 4.0 * (v == 0) for v in c))) for c in cast]
+    for _ in range(7):
+        table = {}
+        for y in (0, 1):
+            mass = [(p if y else 1 - p) * k for p, k in zip(post, counts, strict=True)]
+            for r in range(len(quality.RULES)):
+                own = [sum(m for m, c in zip(mass, cast, strict=True) if c[r] == v) + (2.0 if v == 2 * y else 1.0) for v in range(3)]
+                own = [x / sum(own) for x in own]
+                if y:
+                    own[0] = min(own[0], 0.004)
+                    own = [x / sum(own) for x in own]
+                table[y, r] = own
+        good = sum(p * k for p, k in zip(post, counts, strict=True))
+        share = [(sum(counts) - good + 1) / (sum(counts) + 2), (good + 1) / (sum(counts) + 2)]
+        logs = [[math.log(share[y]) + sum(math.log(table[y, r][v]) for r, v in enumerate(c)) for c in cast] for y in (0, 1)]
+        post = [1 / (1 + math.exp(min(700, max(-700, a - b)))) for a, b in zip(*logs, strict=True)]
+    assert np.allclose(got, post, rtol=1e-9, atol=1e-12)
+
+
 def test_quality_measures():
     rng = random.Random(8)
     for _ in range(200):
