@@ -6,6 +6,7 @@ letter, a number or an underscore, a digit is any decimal digit, and white space
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from dataclasses import dataclass
 
@@ -67,21 +68,28 @@ def trust_pattern(verbs: str, objects: str, flags: str = "(?isu)") -> str:
     return f"{flags}(?:{verbs})[^{WORD}].{{0,79}}(?:{objects})"
 
 
-def plain_class() -> str:
-    """Characters below U+0530 that canonicalization leaves alone, as a class."""
-    ranges: list[list[int]] = []
-    for point in range(0x530):
-        char = chr(point)
-        if unicodedata.category(char) != "Cf" and unicodedata.normalize("NFKC", char) == char:
-            if ranges and ranges[-1][1] == point - 1:
-                ranges[-1][1] = point
-            else:
-                ranges.append([point, point])
+def _runs() -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Ranges of the characters that canonicalization, one by one, leaves alone, and of those that it drops or changes."""
+    kept: list[tuple[int, int]] = []
+    changed: list[tuple[int, int]] = []
+    start, last = 0, None
+    for point in range(sys.maxunicode + 2):
+        char = chr(point) if point <= sys.maxunicode and not 0xD800 <= point < 0xE000 else None
+        now = char and (unicodedata.category(char) == "Cf" or unicodedata.normalize("NFKC", char) != char)
+        if now != last:
+            if last is not None:
+                (changed if last else kept).append((start, point - 1))
+            start, last = point, now
+    return kept, changed
+
+
+def _class(ranges: list[tuple[int, int]]) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
 
-#: Texts that canonicalization may change.
-UNUSUAL = f"[^{plain_class()}]"
+_KEPT, _CHANGED = _runs()
+#: Texts that canonicalization may change. A character is first held against a few ranges that hold most of all text.
+UNUSUAL = f"[[^{_class([(a, b) for a, b in _KEPT if a < 0x530 or b - a >= 100])}]&&[{_class(_CHANGED)}]]"
 
 #: Limits of a request and of a file.
 MAX_TEXT, MAX_TASK, MAX_EDITS, MAX_REVISION = 20_000, 4_000, 100, 1_000

@@ -40,16 +40,16 @@ def _zeros() -> list[int]:
     import sys
     import unicodedata
 
-    return [p for p in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(p)) == "Nd" and unicodedata.decimal(chr(p)) == 0 and p <= 0xFFFF]
+    return [p for p in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(p)) == "Nd" and unicodedata.decimal(chr(p)) == 0]
 
 
-#: The zero of each script's digits in the basic plane.
+#: The zero of each script's digits.
 DIGIT_ZEROS = _zeros()
 
 
 def is_card(value: Column) -> Column:
     """13 to 19 digits with a valid checksum."""
-    own = F.when(value.rlike("[^\\x00-\\x7f]"), ascii_digits(value)).otherwise(F.regexp_replace(value, "[^0-9]", ""))
+    own = F.when(value.rlike(r"[\p{Nd}&&[^0-9]]"), ascii_digits(value)).otherwise(F.regexp_replace(value, "[^0-9]", ""))
     return F.length(own).between(13, 19) & F.call_function("luhn_check", own)
 
 

@@ -101,14 +101,33 @@ def unusual_entities(texts: pd.Series) -> pd.Series:
     return texts.map(entities_of)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("type", T.StringType())]))))
+def unusual_entities_of_all(lists: pd.Series) -> pd.Series:
+    """Entities of each text of a list; null for null texts and lists."""
+    return lists.map(lambda texts: None if texts is None else [None if t is None else entities_of(t) for t in texts])
+
+
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns computed once, here: later steps refer to their values instead of repeating their expressions."""
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.explode(F.array(F.struct(*names))).alias("_s")).select(*others, *[F.col(f"_s.{n}").alias(n) for n in names])
+
+
 def with_entities(df: DataFrame, text: str = "text", name: str = "entities", sure_usual: bool = False) -> DataFrame:
-    """df with its entities. Where texts are sure to be usual, one branch is enough."""
+    """df with its entities, in one pass: each rule runs once on each text.
+
+    The rules' finds in usual texts are settled before they are sorted out. Only the unusual texts, null for all other rows, go
+    through the vectorised function. With sure_usual the caller vouches that there are none.
+    """
+    none = F.array().cast(ENTITIES)
     if sure_usual:
-        return df.withColumn(name, entities(F.col(text)))
-    usual = F.coalesce(is_usual(F.col(text)), F.lit(True))
-    fast = df.where(usual).withColumn(name, F.coalesce(entities(F.col(text)), F.array().cast(ENTITIES)))
-    slow = df.where(~usual).withColumn(name, unusual_entities(F.col(text)))
-    return fast.unionByName(slow)
+        hits = settled(df.withColumn(name, rule_hits(F.col(text))), name)
+        return settled(hits.withColumn(name, F.when(F.size(name) > 0, first_of_each_value(F.col(name))).otherwise(none)), name)
+    odd = F.when(~is_usual(F.col(text)), F.col(text))
+    hits = settled(df.withColumn("_odd", odd).withColumn(name, F.when(F.col("_odd").isNull(), rule_hits(F.col(text)))), "_odd", name)
+    slow = unusual_entities(F.col("_odd"))
+    fast = settled(hits.withColumn(name, F.when(F.size(name) > 0, first_of_each_value(F.col(name))).otherwise(none)), name)
+    return fast.withColumn(name, F.when(F.col("_odd").isNull(), F.col(name)).otherwise(slow)).drop("_odd")
 
 
 def exploded(df: DataFrame, *keys: str, name: str = "entities") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import patterns as P
-from quillmesh.operators.detect import entities
+from quillmesh.operators.canon import is_usual
+from quillmesh.operators.detect import ENTITIES, first_of_each_value, rule_hits, settled, unusual_entities_of_all
 
 NOTHING_FOUND = "No sensitive entities were detected; manual review required before cloud send."
 
@@ -30,21 +31,33 @@ def residual_summary(found: Column) -> Column:
     return F.array_join(F.transform(kinds, lambda t: F.concat(t, F.lit(":"), F.size(F.filter(found, lambda e: e["type"] == t)).cast("string"))), ", ")
 
 
-def reasons(sanitized: Column, mapping: Column) -> Column:
-    """Why sanitized fields must not be sent: an empty array lets them pass."""
-    known = F.map_keys(mapping)
-
-    def of(f: Column) -> Column:
-        rest = without(f["text"], known)
-        unknown = F.transform(F.filter(tokens_in(f["text"]), lambda t: ~F.array_contains(known, t)), lambda t: F.concat(F.lit("Unknown reserved token in "), f["field"]))
-        found = entities(rest)
-        none = F.array().cast("array<string>")
-        malformed = F.when(has_reserved(rest), F.array(F.concat(F.lit("Malformed reserved token in "), f["field"]))).otherwise(none)
-        residual = F.when(F.size(found) > 0, F.array(F.concat(F.lit("Residual high-confidence sensitive data in "), f["field"], F.lit(": "), residual_summary(found)))).otherwise(none)
+def gated(df: DataFrame, name: str = "reasons") -> DataFrame:
+    """df (with sanitized fields and mapping) with the reasons why they must not be sent: an empty array lets them pass.
+
+    What is left of a field without its tokens goes through the whole detector, canonical form included. Rules run once on each
+    field; hits and what is left are settled before they are used.
+    """
+    strings = F.array().cast("array<string>")
+    left = F.transform("sanitized", lambda f: without(f["text"], F.map_keys("mapping")))
+    rows = settled(df.withColumn("_left", left), "_left")
+    odd = F.transform("_left", lambda t: F.when(~is_usual(t), t))
+    hits = F.transform("_left", lambda t: rule_hits(t))
+    rows = settled(rows.withColumns({"_odd": odd, "_hits": hits}), "_odd", "_hits")
+    slow = F.when(F.exists("_odd", lambda t: t.isNotNull()), F.col("_odd"))
+    rows = rows.withColumn("_slow", unusual_entities_of_all(slow))
+    found = F.transform("_hits", lambda h, i: F.coalesce(F.get(F.col("_slow"), i), F.when(F.size(h) > 0, first_of_each_value(h)).otherwise(F.array().cast(ENTITIES))))
+    rows = settled(rows.withColumn("_found", found), "_found")
+
+    def of(f: Column, i: Column) -> Column:
+        rest, entities = F.get(F.col("_left"), i), F.get(F.col("_found"), i)
+        unknown = F.transform(F.filter(tokens_in(f["text"]), lambda t: ~F.array_contains(F.map_keys("mapping"), t)), lambda t: F.concat(F.lit("Unknown reserved token in "), f["field"]))
+        malformed = F.when(has_reserved(rest), F.array(F.concat(F.lit("Malformed reserved token in "), f["field"]))).otherwise(strings)
+        residual = F.when(F.size(entities) > 0, F.array(F.concat(F.lit("Residual high-confidence sensitive data in "), f["field"], F.lit(": "), residual_summary(entities)))).otherwise(strings)
         return F.concat(unknown, malformed, residual)
 
-    empty = F.when(F.size(known) == 0, F.array(F.lit(NOTHING_FOUND))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.flatten(F.transform(sanitized, of)), empty)
+    empty = F.when(F.size(F.map_keys("mapping")) == 0, F.array(F.lit(NOTHING_FOUND))).otherwise(strings)
+    told = settled(rows.withColumn(name, F.concat(F.flatten(F.transform("sanitized", of)), empty)), name)
+    return told.drop("_left", "_odd", "_hits", "_slow", "_found")
 
 
 def warnings(fields: Column) -> Column:

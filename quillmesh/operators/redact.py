@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import patterns as P
 from quillmesh.functions import scalar as S
+from quillmesh.operators.detect import settled
 
 SPANS = "array<struct<field:string,field_pos:int,start:int,end:int,type:string,value:string>>"
 
@@ -140,12 +141,6 @@ def counts(found: Column) -> Column:
     return F.transform(kinds, lambda t: F.struct(t.alias("type"), F.size(F.filter(used, lambda e: e["type"] == t)).alias("n")))
 
 
-def settled(df: DataFrame, *names: str) -> DataFrame:
-    """df with the named columns computed once, here: later steps refer to their values instead of repeating their expressions."""
-    others = [c for c in df.columns if c not in names]
-    return df.select(*others, F.explode(F.array(F.struct(*names))).alias("_s")).select(*others, *[F.col(f"_s.{n}").alias(n) for n in names])
-
-
 def redact(df: DataFrame, nonce: Column, typed: bool = False) -> DataFrame:
     """df (with fields and entities) with error, spans (with tokens), sanitized fields and mapping.
 

@@ -58,12 +58,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by tokens, and the gate's verdict on each."""
     docs = detect.with_entities(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     done = redact.redact(docs.withColumn("fields", redact.fields_of(("text", F.col("text")))), S.derived_nonce(C.SALT, F.col("doc_id")))
-    out = redact.settled(done.withColumn("reasons", gate.reasons(F.col("sanitized"), F.col("mapping"))), "reasons")
+    out = gate.gated(done)
     status = F.when(F.col("error").isNotNull(), F.col("error")).when(F.size("reasons") > 0, F.lit("BLOCKED")).otherwise(F.lit("READY_FOR_REVIEW"))
     return out.select("doc_id", status.alias("status"), _text(F.col("sanitized"), 1).alias("sanitized_text"), F.size("mapping").alias("n_tokens"), F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query()
+@query(O.FLAGSHIP)
 def flagship_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
 
@@ -123,7 +123,8 @@ def detect_priority_ties(spark, sf_dir):
     return hits.groupBy("op_id", "value").agg(F.min_by("type", rank).alias("type"), F.count_distinct("type").alias("n_rules")).where("n_rules > 1")
 
 
-@query()
+@query("""SELECT c_custkey, concat('user', c_custkey, ' [at] example (dot) test') AS value, 'EMAIL' AS type FROM customer
+    UNION ALL SELECT c_custkey, '４１１１ １１１１ １１１１ １１１１', 'CARD' FROM customer""")
 def detect_obfuscated(spark, sf_dir):
     """Addresses written with [at] and (dot), full-width digits and zero-width characters, found by way of the canonical form."""
     rows = C.table(spark, sf_dir, "customer").select(
@@ -133,7 +134,7 @@ def detect_obfuscated(spark, sf_dir):
     return detect.exploded(detect.with_entities(rows), "c_custkey")
 
 
-@query()
+@query("SELECT c_custkey, concat(c_name, ' fi1@x') AS canonical, (length(c_name) + 6)::INTEGER AS n FROM customer")
 def canonical_form(spark, sf_dir):
     rows = C.table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(" ﬁ​① [at] x")).alias("text"))
     made = rows.select("c_custkey", canon.canonical_column(F.col("text")).alias("c"))
@@ -310,7 +311,25 @@ def gate_reasons(spark, sf_dir):
     k = F.col("op_id") % 6
     extra = F.when(k == 0, F.lit(" __PII_ABCDEFABCDEFABCD_0001__")).when(k == 1, F.lit(" __pii_ tail")).when(k == 2, F.lit(" left@over.example")).otherwise(F.lit(""))
     tampered = F.array(F.element_at("sanitized", 1), F.struct(F.lit("text").alias("field"), F.concat(_text(F.col("sanitized"), 2), extra).alias("text")))
-    return _redacted(spark, sf_dir).select("op_id", F.array_join(gate.reasons(tampered, F.col("mapping")), "; ").alias("reasons"))
+    rows = _redacted(spark, sf_dir).withColumn("sanitized", tampered)
+    return gate.gated(rows).select("op_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 < 4 THEN concat('Residual high-confidence sensitive data in text: ', CASE WHEN c_custkey % 5 = 3 THEN 'CARD:1' ELSE 'EMAIL:1' END) ELSE '' END AS reasons FROM customer")
+def gate_obfuscated(spark, sf_dir):
+    """Residual values that only the canonical form shows: marks in words, a zero-width space, full-width letters and digits."""
+    k = F.col("c_custkey") % 5
+    mail = (
+        F.when(k == 0, F.concat(F.lit("bob"), "c_custkey", F.lit(" [at] example (dot) com")))
+        .when(k == 1, F.concat(F.lit("bo\u200bb"), "c_custkey", F.lit("@example.com")))
+        .when(k == 2, F.lit("\uff42\uff4f\uff42\uff20\uff45\uff58.\uff43\uff4f\uff4d"))
+        .when(k == 3, F.lit("\uff14\uff11\uff11\uff11 1111 1111 1111"))
+        .otherwise(F.lit("nobody \u2014 \u201cno one\u201d"))
+    )
+    token = F.concat(F.lit("__PII_ABCDEFABCDEFABCD_0001__"))
+    text = F.concat("c_name", F.lit(" "), token, F.lit(" wrote to "), mail)
+    rows = C.table(spark, sf_dir, "customer").select("c_custkey", redact.fields_of(("text", text)).alias("sanitized"), F.create_map(token, F.lit("value")).alias("mapping"))
+    return gate.gated(rows).select("c_custkey", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("SELECT doc_id, n_found = 0 AS blocked FROM (SELECT d.doc_id, count(e.value) AS n_found FROM documents AS d LEFT JOIN (" + O.entities("documents", "doc_id", kinds=("EMAIL", "CARD", "PHONE")) + ") AS e ON d.doc_id = e.doc_id GROUP BY d.doc_id)")

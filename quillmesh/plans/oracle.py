@@ -81,6 +81,25 @@ sanitized AS (
   SELECT f.op_id, f.field, f.field_pos, coalesce(j.head || substr(f.text, j.last_end + 1), f.text) AS text
   FROM fields AS f LEFT JOIN joined AS j ON f.op_id = j.op_id AND f.field = j.field)
 """
+#: Documents with their finds replaced, as the flagship query does it.
+FLAGSHIP = f"""
+WITH ents AS ({entities("documents", "doc_id", kinds=("EMAIL", "CARD", "PHONE"))}),
+parts AS (SELECT d.doc_id, d.text, e.value, e.type, string_split(d.text, e.value) AS p FROM documents AS d JOIN ents AS e ON d.doc_id = e.doc_id),
+starts AS (
+  SELECT doc_id, text, value, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(value)))::BIGINT AS s FROM parts),
+apart AS (
+  SELECT * FROM starts AS a WHERE NOT EXISTS (
+    SELECT 1 FROM starts AS b WHERE b.doc_id = a.doc_id AND length(b.value) > length(a.value) AND a.s < b.s + length(b.value) AND a.s + length(a.value) > b.s)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k, lag(s + length(value), 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM apart),
+named AS (SELECT *, concat('{P.TOKEN_PREFIX}', upper(left(sha256(concat('{C.SALT}', doc_id)), 32)), '_', lpad(k::VARCHAR, 4, '0'), '__') AS token FROM numbered),
+done AS (
+  SELECT doc_id, string_agg(concat(substr(text, before + 1, s - before), token), '' ORDER BY s) AS head, max(s + length(value)) AS last_end, count(*) AS n FROM named GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN regexp_matches(d.text, '^\\s*$') THEN 'empty_input' WHEN t.n IS NULL THEN 'BLOCKED' ELSE 'READY_FOR_REVIEW' END AS status,
+  coalesce(t.head || substr(d.text, t.last_end + 1), d.text) AS sanitized_text, coalesce(t.n, 0)::INTEGER AS n_tokens,
+  CASE WHEN t.n IS NULL THEN '{NOTHING_FOUND.replace("'", "''")}' ELSE '' END AS reasons
+FROM documents AS d LEFT JOIN done AS t ON d.doc_id = t.doc_id
+"""
 ACTUAL = f"ops AS ({C.OPS}), actual AS (SELECT op_id AS case_id, value, type FROM ({entities('ops', 'op_id')})), expected AS ({C.EXPECTED})"
 PAIRS = ACTUAL + """,
 pairs AS (

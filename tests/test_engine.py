@@ -76,9 +76,9 @@ def test_input_errors(spark):
 
 def test_gate(spark):
     made = redact.redact(ops(spark, "Ann, x@y.example", [("Ann", "PERSON")]), F.lit(NONCE))
-    assert made.select(gate.reasons(F.col("sanitized"), F.col("mapping"))).first()[0] == ["Residual high-confidence sensitive data in text: EMAIL:1"]
+    assert gate.gated(made).first()["reasons"] == ["Residual high-confidence sensitive data in text: EMAIL:1"]
     none = redact.redact(ops(spark, "nothing here", []), F.lit(NONCE))
-    assert none.select(gate.reasons(F.col("sanitized"), F.col("mapping"))).first()[0] == [gate.NOTHING_FOUND]
+    assert gate.gated(none).first()["reasons"] == [gate.NOTHING_FOUND]
 
 
 @pytest.mark.parametrize("change", [lambda t: t.replace("0001", "0002"), lambda t: t.lower(), lambda t: t[:-1], lambda t: t + t])
@@ -145,3 +145,37 @@ def test_receipts(spark):
 def test_admission(spark):
     df = spark.createDataFrame([("a.exe", 1), ("a.TXT", 0), ("a.docx", 6 << 20), ("a.pdf", 1)], "path string, n long")
     assert [r[0] for r in df.select(admission.file_reason(F.col("path"), F.col("n"))).collect()] == ["unsupported_type", "empty_file", "file_too_large", None]
+
+
+@pytest.mark.parametrize("name", ["detect_all_dedup", "detect_counts", "redact_typed", "score_per_type", "token_audit", "receipt_rows", "spans_opaque"])
+def test_rules_run_once(spark, name):
+    """Eight rules, eight extractions in the plan; the audit has one more, for tokens."""
+    from quillmesh.plans import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 8 + (name == "token_audit")
+
+
+def test_gate_looks_at_the_canonical_form(spark):
+    texts = ["bob [at] example (dot) com", "bo​b@example.com", "ｂｏｂ＠ｅｘａｍｐｌｅ．ｃｏｍ", "nothing — here 日本", "card \U0001d7d2\U0001d7cf\U0001d7cf\U0001d7cf 1111 1111 1111", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = rows.select("i", F.array(F.struct(F.lit("text").alias("field"), F.coalesce("t", F.lit("")).alias("text")), F.struct(F.lit("task").alias("field"), F.lit("plain").alias("text"))).alias("sanitized"), F.create_map(F.lit("__PII_ABCDEFABCDEFABCD_0001__"), F.lit("v")).alias("mapping"))
+    got = {r.i: r.reasons for r in gate.gated(rows).collect()}
+    residual = "Residual high-confidence sensitive data in text: "
+    assert [got[i] for i in range(6)] == [[residual + "EMAIL:1"]] * 3 + [[]] + [[residual + "CARD:1"]] + [[]]
+    assert gate.gated(rows.limit(0)).count() == 0
+
+
+def test_usual_texts(spark):
+    """What the pattern lets pass is its own canonical form, and the other way round, character by character."""
+    points = [p for p in range(1, 0x11000) if not 0xD800 <= p < 0xE000][::7] + list(range(0x1D400, 0x1D7FF, 5)) + [0x1F600, 0x20000, 0xE0001]
+    rows = spark.createDataFrame([(chr(p),) for p in points], "t string").select("t", canon.is_usual(F.col("t")).alias("u")).collect()
+    assert all(r.u == (canon.canonical(r.t)[0] == r.t) for r in rows)
+
+
+def test_cards_of_all_planes(spark):
+    from quillmesh.functions import scalar
+
+    values = ["4111 1111 1111 1111", "".join(chr(0x1D7CE + int(c)) for c in "4111111111111111"), "".join(chr(0xFF10 + int(c)) for c in "4111111111111112")]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(scalar.is_card(F.col("v"))).collect()
+    assert [r[0] for r in rows] == [True, True, False]
