@@ -42,23 +42,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.keep, self.joined = keep, joined
         self.known: dict[bytes, bytes] = {}
+        #: Ids of marks that often end a chunk.
+        self.marks = {ord(m): np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
         #: Whether a token ends a word.
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def _plain(self, chunks: list[bytes], texts: list[str], words: list[int]) -> None:
-        """Chunks of which it is known how many words they hold at least; their ids are told apart by the tokens that end words."""
+    def _plain(self, chunks: list[bytes], texts: list[str]) -> None:
+        """Chunks of letters alone: a word each, whose ids are told apart by the tokens that end words."""
         groups = range(0, len(chunks), self.joined)
         found = self.tokenizer.encode_batch_fast([" ".join(texts[at : at + self.joined]) for at in groups], add_special_tokens=False)
         for at, e in zip(groups, found, strict=True):
             part = chunks[at : at + self.joined]
             ids = np.array(e.ids, "<u4")
             last = np.flatnonzero(self.ends[ids])
-            count = np.cumsum(words[at : at + self.joined])
-            if len(last) != count[-1]:  # normalisation has made more words of some chunk
+            if len(last) != len(part):  # normalisation has made more words of some chunk
                 self._by_offsets(part, texts[at : at + self.joined])
                 continue
-            edges = ((last[count - 1] + 1) * 4).tolist()
+            edges = ((last + 1) * 4).tolist()
             data = ids.tobytes()
             self.known.update((c, data[s:t]) for c, s, t in zip(part, [0, *edges[:-1]], edges, strict=True))
 
@@ -74,16 +75,27 @@ class Encoder:
             self.known.update((c, data[s:e]) for c, s, e in zip(chunks, edges, [*edges[1:], len(data)], strict=True))
 
     def learn(self, chunks: list[bytes]) -> None:
-        texts = [c.decode() for c in chunks]
-        # Letters are a word, and letters with one mark after them two.
-        words = [1 if t.isalpha() else 2 if t[-1] in ".,;:!?" and t[:-1].isalpha() else 0 for t in texts]
-        plain = [i for i, n in enumerate(words) if n]
+        """Takes in new chunks. A mark after a letter is a word of its own, so that only what stands before it has to be known."""
+        stems = [c[:-1] if c[-1] in self.marks and c[-2:-1].isalpha() else c for c in chunks]
+        new = list({c for c in stems if c not in self.known})
+        texts = [c.decode() for c in new]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
         if plain:
-            self._plain([chunks[i] for i in plain], [texts[i] for i in plain], [words[i] for i in plain])
-        other = [i for i, n in enumerate(words) if not n]
+            self._plain([new[i] for i in plain], [texts[i] for i in plain])
+        other = [i for i, t in enumerate(texts) if not t.isalpha()]
         for at in range(0, len(other), self.joined):
             part = other[at : at + self.joined]
-            self._by_offsets([chunks[i] for i in part], [texts[i] for i in part])
+            self._by_offsets([new[i] for i in part], [texts[i] for i in part])
+        known, marks = self.known, self.marks
+        known.update([(c, known[t] + marks[c[-1]]) for c, t in zip(chunks, stems, strict=True) if c is not t])
+
+    def small(self, text: bytes) -> bytes:
+        """The text with A-Z in small letters, as the tokenizer writes them itself, so that more chunks are known.
+
+        Left alone are texts that may hold special tokens, which are found before, and combining marks U+0300 to U+036F, which are
+        composed before.
+        """
+        return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, given as UTF-8."""
@@ -93,7 +105,7 @@ class Encoder:
         out: list[list[bytes | None]] = []
         open_: list[tuple[list[bytes | None], list[bytes], list[int]]] = []
         for text in texts:
-            words = text.split() if text else []
+            words = self.small(text).split() if text else []
             parts = [get(w) for w in words]
             out.append(parts)
             if None in parts:
