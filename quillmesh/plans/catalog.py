@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import patterns as P
 from quillmesh.functions import scalar as S
-from quillmesh.operators import admission, canon, detect, evaluate, gate, lifecycle, receipts, redact, review
+from quillmesh.operators import admission, canon, detect, evaluate, gate, lifecycle, operation, receipts, redact, review
 from quillmesh.plans import corpus as C
 from quillmesh.plans import oracle as O
 
@@ -425,6 +425,104 @@ def admission_requests(spark, sf_dir):
     return C.table(spark, sf_dir, "customer").select("c_custkey", admission.request_reason(text, task, model).alias("reason"))
 
 
+# Whole operations ----------------------------------------------------------------------------------------------------------------
+
+
+def _created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operation.create(C.ops(spark, sf_dir).drop("fields"), S.derived_nonce(C.SALT, F.col("op_id")), sure_usual=True)
+
+
+_WARNINGS = O.trust("concat(o.task, chr(10), o.text)")
+
+
+@query(
+    "WITH " + O.OPAQUE + O.SPLICED + f""",
+made AS (SELECT op_id, max(text) FILTER (field = 'task') AS task, max(text) FILTER (field = 'text') AS text FROM sanitized GROUP BY op_id),
+n AS (SELECT op_id, count(*) AS n FROM tokened GROUP BY op_id)
+SELECT o.op_id, CASE WHEN n.n IS NULL THEN 'BLOCKED' ELSE 'READY_FOR_REVIEW' END AS status, m.task, m.text, {_WARNINGS} AS warnings, sha256(o.text) AS source_hash, 0 AS revision
+FROM ops AS o JOIN made AS m ON o.op_id = m.op_id LEFT JOIN n ON o.op_id = n.op_id"""
+)
+def operation_create(spark, sf_dir):
+    s = F.col("sanitized")
+    return _created(spark, sf_dir).select("op_id", "status", _text(s, 1).alias("task"), _text(s, 2).alias("text"), F.array_join("warnings", ",").alias("warnings"), F.element_at("source_hashes", 2)["hash"].alias("source_hash"), "revision")
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that remove the first span of the text, add the text's first three characters, reach past its end, or name other fields."""
+    made = _created(spark, sf_dir)
+    k = F.col("op_id") % 4
+    first = F.get(F.filter("spans", lambda s: s["field"] == "text"), F.lit(0))
+    edit = lambda action, start, end, kind: F.struct(F.lit(action).alias("action"), F.lit("text").alias("field"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("type"))
+    edits = (
+        F.when(k == 0, F.array(edit("remove", first["start"], first["end"], "CONTRACT_ID"))).when(k == 1, F.array(edit("add", F.lit(0), F.lit(3), "ORG"))).otherwise(F.array(edit("add", F.lit(0), F.lit(1_000_000), "ORG")))
+    )
+    named = F.when(k == 3, F.array(F.lit("text"), F.lit("other"))).otherwise(F.array(F.lit("task"), F.lit("text")))
+    return operation.review(made.withColumns({"edits": edits, "named_fields": named}), S.derived_nonce(C.SALT, F.col("op_id")))
+
+
+_REVIEWED = "WITH " + O.BASE + f""",
+firsts AS (SELECT op_id, min(start_) AS s FROM spans WHERE field = 'text' GROUP BY op_id),
+edited AS (
+  SELECT s.op_id, s.field, s.field_pos, s.start_, s.end_ FROM spans AS s JOIN firsts AS f ON s.op_id = f.op_id WHERE NOT (s.op_id % 4 = 0 AND s.field = 'text' AND s.start_ = f.s)
+  UNION ALL SELECT op_id, 'text', 1, 0, 3 FROM ops WHERE op_id % 4 = 1),
+tokened AS (
+  SELECT s.*, concat('{P.TOKEN_PREFIX}', n.nonce, '_', lpad((row_number() OVER (PARTITION BY s.op_id ORDER BY field_pos, start_))::VARCHAR, 4, '0'), '__') AS token
+  FROM edited AS s JOIN nonces AS n ON s.op_id = n.op_id)""" + O.SPLICED
+
+
+@query(
+    _REVIEWED + """
+SELECT o.op_id, CASE o.op_id % 4 WHEN 2 THEN 'invalid_span' WHEN 3 THEN 'field_names_mismatch' END AS review_error, CASE WHEN o.op_id % 4 < 2 THEN 1 ELSE 0 END AS revision,
+  CASE WHEN o.op_id % 4 = 0 THEN 'BLOCKED' ELSE 'READY_FOR_REVIEW' END AS status, s.text,
+  CASE WHEN o.op_id % 4 = 0 THEN 'Residual high-confidence sensitive data in text: CONTRACT_ID:1' ELSE '' END AS reasons
+FROM ops AS o JOIN sanitized AS s ON o.op_id = s.op_id AND s.field = 'text'"""
+)
+def operation_review(spark, sf_dir):
+    """What the reviewer uncovers the gate finds again; failed reviews change nothing."""
+    return _reviewed(spark, sf_dir).select("op_id", "review_error", "revision", "status", _text(F.col("sanitized"), 2).alias("text"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(
+    _TOKENS + f""", coded AS (
+  SELECT o.op_id, o.task, o.text, {_WARNINGS} AS warned FROM ops AS o)
+SELECT c.op_id, CASE WHEN c.op_id % 8 = 5 THEN 'revision_mismatch' WHEN c.warned <> '' AND c.op_id % 2 = 0 THEN 'acknowledgement_required' END AS authorize_error,
+  CASE WHEN c.op_id % 8 = 5 OR (c.warned <> '' AND c.op_id % 2 = 0) THEN NULL WHEN c.op_id % 9 = 1 THEN 'unknown_token' WHEN c.op_id % 9 = 2 THEN 'token_limit_exceeded' END AS complete_error,
+  CASE WHEN c.op_id % 8 = 5 OR (c.warned <> '' AND c.op_id % 2 = 0) OR c.op_id % 9 IN (1, 2) THEN NULL ELSE 'Done: ' || array_to_string(CASE WHEN c.op_id % 9 = 3 THEN v[2:] ELSE v END, ' ') END AS restored
+FROM coded AS c JOIN per_op AS p ON c.op_id = p.op_id"""
+)
+def operation_complete(spark, sf_dir):
+    """Authorisation, the answer's audit and the restored text."""
+    made = _created(spark, sf_dir)
+    k = F.col("op_id")
+    code = operation.authorize_code(F.col("status"), F.col("revision"), F.when(k % 8 == 5, F.lit(1)).otherwise(F.lit(0)), F.col("warnings"), k % 2 == 1)
+    own = F.array_sort(F.map_keys("mapping"))
+    tail = F.when(k % 9 == 1, F.lit(" __PII_00000000_0001__")).when(k % 9 == 2, F.concat(F.lit(" "), F.element_at(own, 1))).otherwise(F.lit(""))
+    kept = F.when(k % 9 == 3, F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))).otherwise(own)
+    rows = redact.settled(made.withColumns({"authorize_error": code, "answer": F.concat(F.lit("Done: "), F.array_join(kept, " "), tail)}), "authorize_error", "answer")
+    done = operation.complete(rows)
+    fine = F.col("authorize_error").isNull()
+    return done.select("op_id", "authorize_error", F.when(fine, F.col("complete_error")).alias("complete_error"), F.when(fine, F.col("restored")).alias("restored"))
+
+
+@query(
+    "WITH " + O.OPAQUE + O.SPLICED + f"""SELECT op_id, 'READY_FOR_REVIEW' AS status, '{O.HEAD}' || max(text) FILTER (field = 'task') || chr(10) || '</task>' AS instructions, max(text) FILTER (field = 'text') AS input_text FROM sanitized GROUP BY op_id"""
+)
+def operation_stateless(spark, sf_dir):
+    made = operation.stateless(C.ops(spark, sf_dir).drop("fields"), S.derived_nonce(C.SALT, F.col("op_id")), sure_usual=True)
+    return made.select("op_id", "status", "sent.instructions", "sent.input_text")
+
+
+@query(
+    """SELECT o_orderkey AS op_id, least(i // 2 + 1, 5) AS live, i // 2 >= 5 AS refused
+    FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)"""
+)
+def live_capacity(spark, sf_dir):
+    """A store for each customer with room for five; operations come a second apart, and those with an even place finish before the next."""
+    rows = C.over_orders(spark, sf_dir, "SELECT o_custkey AS store, o_orderkey AS op_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS DOUBLE) AS at FROM orders")
+    events = rows.withColumn("released", F.when(F.col("at") % 2 == 0, F.col("at") + 0.5))
+    return lifecycle.live_operations(events, capacity=5).select("op_id", "live", "refused")
+
+
 # Review and lifecycle ----------------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmesh.operators import admission, canon, detect, gate, lifecycle, receipts, redact
+from quillmesh.operators import admission, canon, detect, gate, lifecycle, operation, receipts, redact
 from quillmesh.operators.lifecycle import State, transition
 
 NONCE = "ABCDEF0123456789"
@@ -179,3 +179,41 @@ def test_cards_of_all_planes(spark):
     values = ["4111 1111 1111 1111", "".join(chr(0x1D7CE + int(c)) for c in "4111111111111111"), "".join(chr(0xFF10 + int(c)) for c in "4111111111111112")]
     rows = spark.createDataFrame([(v,) for v in values], "v string").select(scalar.is_card(F.col("v"))).collect()
     assert [r[0] for r in rows] == [True, True, False]
+
+
+def test_operation_from_request_to_answer(spark):
+    rows = spark.createDataFrame([(1, "Sum up", "mail bob@mail.example now"), (2, "Sum up", "nothing here"), (3, None, " ")], "op_id long, task string, text string")
+    nonce = F.lit(NONCE)
+    made = operation.create(rows, nonce)
+    got = {r.op_id: r for r in made.collect()}
+    assert got[1].status == "READY_FOR_REVIEW" and got[1].sanitized[1].text == f"mail __PII_{NONCE}_0001__ now"
+    assert got[2].status == "BLOCKED" and got[2].reasons == [gate.NOTHING_FOUND] and got[3].error == "empty_input" and got[3].status is None
+
+    def reviewed(action, start, end, kind="ORG", named=("task", "text")):
+        edit = F.struct(F.lit(action).alias("action"), F.lit("text").alias("field"), F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(kind).alias("type"))
+        return operation.review(made.where("op_id = 1").withColumns({"edits": F.array(edit), "named_fields": F.array(*map(F.lit, named))}), nonce).first()
+
+    uncovered = reviewed("remove", 5, 21)
+    assert (uncovered.status, uncovered.revision, uncovered.review_error) == ("BLOCKED", 1, None) and "EMAIL:1" in uncovered.reasons[0]
+    more = reviewed("add", 0, 4)
+    assert more.sanitized[1].text == f"__PII_{NONCE}_0001__ __PII_{NONCE}_0002__ now" and more.status == "READY_FOR_REVIEW"
+    assert [reviewed(*x).review_error for x in (("add", 0, 99), ("add", 3, 3), ("add", 0, 4, "CAT"), ("add", 4, 8), ("remove", 0, 4))] == ["invalid_span", "invalid_span", "unknown_type", "overlapping_spans", "span_not_found"]
+    kept = reviewed("add", 0, 4, "ORG", ("text",))
+    assert (kept.review_error, kept.revision, kept.sanitized) == ("field_names_mismatch", 0, got[1].sanitized)
+
+    one = made.where("op_id = 1")
+    done = operation.complete(one.withColumn("answer", F.lit(f"To __PII_{NONCE}_0001__"))).first()
+    assert done.restored == "To bob@mail.example" and done.complete_error is None and done.omitted == []
+    bad = operation.complete(one.withColumn("answer", F.lit(f"__PII_{NONCE}_0001__ __PII_{NONCE}_0001__"))).first()
+    assert bad.complete_error == "token_limit_exceeded" and bad.restored is None
+    sent = {r.op_id: r.sent for r in operation.stateless(rows, nonce).collect()}
+    assert sent[2] is None and sent[1].input_text == f"mail __PII_{NONCE}_0001__ now"
+    assert operation.stateless(rows.limit(0), nonce).count() == 0
+
+
+def test_capacity_counts_live_operations(spark):
+    events = [("a", i, float(i), i + 0.5) for i in range(10)] + [("b", i, float(i), None) for i in range(4)] + [("b", 9, 700.0, None)]
+    rows = lifecycle.live_operations(spark.createDataFrame(events, "store string, op_id long, at double, released double"), capacity=3)
+    got = {(r.store, r.op_id): (r.live, r.refused) for r in rows.collect()}
+    assert all(got["a", i] == (1, False) for i in range(10))
+    assert [got["b", i] for i in (0, 1, 2, 3, 9)] == [(1, False), (2, False), (3, False), (3, True), (1, False)]
