@@ -500,11 +500,13 @@ def _marked(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
     # Columns are told apart by place, so that names may clash.
     rows = docs.select(F.col("doc_id").cast("long").alias("_0"), F.col("text").alias("_1"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(others, 2)))
     shards = checkpoint(rows.mapInArrow(_gather(bool(others)), SHARDS))
+    if not others:
+        shards = shards.select("shard", "docs", "blob")  # so that both joins share one exchange
     seen = with_found(dealt(shards.select("shard", "docs", "blob").mapInArrow(_hashes(n), SCHEMA), _twice)).withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
     # Segments are only ever in shuffle files; tasks that lose them start from the shards again.
     local = seen.select("shard", "docs", "blob", "found").mapInArrow(_local(FINER * n), SCHEMA)
     marks = dealt(local, _merge)
-    return with_found(marks).select("docs", "blob", "found", "rest")
+    return with_found(marks).select("docs", "blob", "found", "rest" if others else F.lit(None).cast("binary").alias("rest"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
