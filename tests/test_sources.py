@@ -2,9 +2,12 @@
 
 import io
 import json
+import os
 import time
 import zipfile
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import sql
@@ -95,3 +98,101 @@ def test_stream(spark, tmp_path):
         q.stop()
     got = {(r.op_id, r.action): r.outcome for r in spark.sql("SELECT * FROM life").collect()}
     assert got == {("a", "create"): "operation_created", ("a", "authorize"): "operation_authorized", ("a", "complete"): "completed", ("b", "complete"): "operation_not_found"}
+
+
+def archive(flags: int = 0, **members: bytes | int) -> zipfile.ZipFile:
+    """An archive in memory; numbers stand for members said to have that size."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name in ("[Content_Types].xml", "word/document.xml"):
+            z.writestr(name, "<x/>")
+        for name, data in members.items():
+            z.writestr(name.replace("__", "/").replace("-", "."), b"" if isinstance(data, int) else data)
+    read = zipfile.ZipFile(out)
+    for m in read.infolist():
+        size = members.get(m.filename.replace("/", "__"))
+        if isinstance(size, int):
+            m.file_size = size
+            m.compress_size = max(1, size // 100)
+        m.flag_bits |= flags
+    return read
+
+
+@pytest.mark.parametrize(
+    ("reason", "made"),
+    [
+        ("docx_too_many_members", lambda: archive(**{f"m{i}": b"" for i in range(511)})),
+        ("docx_too_large", lambda: archive(a=9 << 20, b=9 << 20, c=9 << 20)),
+        ("docx_member_too_large", lambda: archive(a=(10 << 20) + 1)),
+        ("docx_encrypted", lambda: archive(flags=1)),
+        ("docx_document_type", lambda: archive(**{"a.rels": b" <!ENTITY x>"})),
+        ("docx_unsupported: comments, embedded_object, footnotes_or_endnotes, macro, text_box", lambda: archive(**{
+            "word__embeddings__a": b"", "word__Comments.xml": b"", "word__endnotes.xml": b"<w:txbxContent/>", "x__vbaProject.bin": b""})),
+    ],
+)
+def test_archive_rules(reason, made):
+    with pytest.raises(files.Refused, match=f"^{reason}$"):
+        files.check_archive(made())
+
+
+def test_archive_ratio_and_missing_parts():
+    dense = archive(a=(1 << 20) + 1)
+    next(m for m in dense.infolist() if m.filename == "a").compress_size = 5000
+    with pytest.raises(files.Refused, match="docx_compression_ratio"):
+        files.check_archive(dense)
+    out = io.BytesIO()
+    zipfile.ZipFile(out, "w").close()
+    with pytest.raises(files.Refused, match="docx_missing_parts"):
+        files.check_archive(zipfile.ZipFile(out))
+    files.check_archive(archive(a=1 << 20, notes=b"<w:vanish"))
+
+
+def pdf(*objects: str, trailer: str = "/Root 1 0 R") -> bytes:
+    return ("%PDF-1.7\n" + "\n".join(f"{i} 0 obj\n{o}\nendobj" for i, o in enumerate(objects, 1)) + f"\ntrailer <<{trailer}>>\n%%EOF").encode("latin-1")
+
+
+def packed(text: str, n: int = 1) -> str:
+    body = zlib.compress(text.encode("latin-1"))
+    return f"<</Type /ObjStm /N {n} /Filter /FlateDecode /Length {len(body)}>>\nstream\n{body.decode('latin-1')}\nendstream"
+
+
+@pytest.mark.parametrize(
+    ("reason", "data"),
+    [
+        ("pdf_encrypted", pdf("<<>>", trailer="/Encrypt 2 0 R")),
+        ("pdf_too_many_pages", pdf(*["<</Type /Page>>"] * 101)),
+        ("pdf_too_many_objects", pdf(*["0"] * 10_001)),
+        ("pdf_too_many_objects", pdf(packed("0", 10_001))),
+        ("pdf_unsupported: automatic_action, embedded_files, javascript", pdf("<</Names <</EmbeddedFiles 2 0 R /JavaScript 3 0 R>> /OpenAction 4 0 R>>")),
+        ("pdf_unsupported: annotations, interactive_form, xfa_form", pdf(packed("<</AcroForm <</XFA 1 0 R>>>> <</Type /Page /Annots []>>"))),
+        ("pdf_unsupported: automatic_action, optional_content_layers", pdf("<</A#41 2 0 R /OCProp#65rties 3 0 R>>")),
+        ("pdf_too_large", pdf(packed(" " * (26 << 20)))),
+        ("damaged", pdf(packed("x").replace("stream\nx", "stream\nq", 1))),
+        ("pdf_unseen_objects", pdf(packed("x").replace("FlateDecode", "LZWDecode"))),
+    ],
+)
+def test_pdf_rules(reason, data):
+    with pytest.raises(files.Refused, match=f"^{reason}$"):
+        files.check_pdf(data)
+
+
+def test_plain_pdf_passes():
+    files.check_pdf(pdf("<</Type /Catalog /Pages 2 0 R>>", "<</Type /Pages /Kids [3 0 R]>>", "<</Type /Page /Contents 4 0 R>>", "<</Length 9>>\nstream\n(/AA /XFA)\nendstream", packed("<</AAPL 1>>")))
+
+
+def test_parsers_that_hang_or_die(spark, tmp_path):
+    (tmp_path / "a.PDF").write_bytes(pdf("<<>>"))
+    (tmp_path / "b b.pdf").write_bytes(b"")
+    read = lambda parser, seconds=8.0: {r.path.rsplit("/", 1)[-1]: r.reason for r in files.read(spark, str(tmp_path), parser, seconds).collect()}
+    assert read(lambda data: time.sleep(60), 0.3) == {"a.PDF": "parser_timeout", "b b.pdf": "empty_file"}
+    assert read(lambda data: os._exit(3))["a.PDF"] == "parser_died"
+    assert read(lambda data: 1 / 0)["a.PDF"] == "parser_failed"
+    assert read(lambda data: ("fine", 1))["a.PDF"] is None
+
+
+def test_contents_of_refused_files_are_not_read(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    plan = files.read(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan binaryFile" in line]
+    assert len(scans) == 4 and sum("content" in line.split("Batched")[0] for line in scans) == 2
+    assert all("LessThanOrEqual(length" in line for line in scans if "content" in line.split("Batched")[0])
