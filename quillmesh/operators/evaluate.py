@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import patterns as P
 from quillmesh.functions import scalar as S
+from quillmesh.operators import gate, redact
+from quillmesh.operators.detect import ENTITIES, settled
 
 PAIR = ("case_id", "value", "type")
 
@@ -98,15 +100,22 @@ def status(code: Column, gate_reasons: Column, manual_warning: Column, leaked: C
     )
 
 
+#: What the gate, or redaction itself, makes of a case whose detection worked.
+BLOCKED_BY_GATE = ("blocked:GateBlocked", "blocked:AirlockError")
+
+
+def _failed(status: Column) -> Column:
+    return status.startswith("blocked:") & ~status.isin(*BLOCKED_BY_GATE, "blocked:fixture_oracle")
+
+
 def case_counters(cases: DataFrame) -> DataFrame:
     """From cases with status, category, expected and predicted counts: the report's counters."""
     s = F.col("status")
-    failed = s.startswith("blocked:") & ~s.isin("blocked:GateBlocked", "blocked:fixture_oracle")
     return cases.agg(
         F.count(F.lit(1)).alias("cases"),
         F.count_if(s.isin("passed", "blocked:fixture_oracle")).alias("runtime_gate_passes"),
-        F.count_if(s == "blocked:GateBlocked").alias("runtime_gate_blocks"),
-        F.count_if(failed).alias("detection_failures"),
+        F.count_if(s.isin(*BLOCKED_BY_GATE)).alias("runtime_gate_blocks"),
+        F.count_if(_failed(s)).alias("detection_failures"),
         F.count_if(s == "passed").alias("fixture_oracle_passes"),
         F.count_if(s == "blocked:fixture_oracle").alias("known_control_leak_cases"),
         F.count_if(F.col("expected") == 0).alias("clean_cases"),
@@ -116,10 +125,71 @@ def case_counters(cases: DataFrame) -> DataFrame:
 
 
 def failures_by_code(cases: DataFrame) -> DataFrame:
-    s = F.col("status")
-    failed = cases.where(s.startswith("blocked:") & ~s.isin("blocked:GateBlocked", "blocked:fixture_oracle"))
-    return failed.groupBy(F.regexp_replace("status", "^blocked:(semantic_detector_)?", "").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return cases.where(_failed(F.col("status"))).groupBy(F.regexp_replace("status", "^blocked:(semantic_detector_)?", "").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def latencies(cases: DataFrame, seconds: str = "seconds") -> DataFrame:
     return cases.agg(F.bround(F.median(seconds), 3).alias("latency_median_seconds"), F.bround(F.max(seconds), 3).alias("latency_max_seconds"))
+
+
+def _values(entities: Column) -> Column:
+    """Distinct (value, type), in which arrays can be compared."""
+    return F.array_distinct(F.transform(entities, lambda e: F.struct(e["value"].alias("value"), e["type"].alias("type"))))
+
+
+def _passed(df: DataFrame, nonce: Column, typed: bool) -> DataFrame:
+    """df (with text, entities and expected) redacted and gated, with leaked: how many expected values the sanitized text still has."""
+    done = gate.gated(redact.redact(df.withColumn("fields", redact.fields_of(("text", F.col("text")))), nonce, typed))
+    sent = F.element_at("sanitized", 1)["text"]
+    leaked = F.size(F.filter("expected", lambda e: F.contains(sent, e["value"])))
+    return settled(done.withColumn("leaked", leaked), "leaked")
+
+
+def case_results(cases: DataFrame, nonce: Column, typed: bool = False) -> DataFrame:
+    """A row for each case: what detection, redaction, gate and restoring make of it.
+
+    cases have case_id, language, category, text, expected (labels), entities (found; nulls count as none), code (why detection
+    failed, or null) and manual_warning (null unless a person has to look). A case whose detection failed has nothing found.
+    Texts that can't be redacted are blocked by their error; assisted says whether the text passes once the labels themselves are redacted.
+    """
+    none = F.array().cast(ENTITIES)
+    asked = {"expected": _values(F.coalesce("expected", none)), "entities": F.when(F.col("code").isNull(), _values(F.coalesce("entities", none))).otherwise(none)}
+    kept = ["case_id", F.coalesce("language", F.lit("unknown")).alias("language"), F.coalesce("category", F.lit("standard")).alias("category"), "text", "code", "manual_warning"]
+    rows = settled(cases.select(*kept, *[c.alias(n) for n, c in asked.items()]).withColumn("_nonce", nonce), "expected", "entities", "_nonce")
+    own = _passed(rows, F.col("_nonce"), typed)
+    echo = F.concat(F.lit("Acknowledged: "), F.array_join(F.map_keys("mapping"), " "))
+    restored = settled(own.withColumn("_restored", gate.restore(echo, F.col("mapping"))), "_restored")
+    through = F.col("code").isNull() & F.col("error").isNull() & (F.size("reasons") == 0)
+    values = lambda c: F.array_distinct(F.transform(c, lambda e: e["value"]))
+    told = restored.select(
+        *rows.columns, F.size("expected").alias("n_expected"), F.size("entities").alias("n_predicted"), F.size(F.array_intersect("expected", "entities")).alias("n_hits"),
+        F.size(F.array_except(values(F.col("entities")), values(F.col("expected")))).alias("n_extra_values"),
+        (through & F.forall(F.map_values("mapping"), lambda v: F.contains(F.col("_restored"), v))).alias("restoration_checked"),
+        status(F.coalesce("code", F.when(F.col("error").isNotNull(), F.lit("AirlockError"))), F.col("reasons"), F.col("manual_warning"), F.col("leaked")).alias("status"),
+    )
+    again = _passed(told.withColumn("entities", F.col("expected")), F.col("_nonce"), typed)
+    assisted = (F.size("expected") > 0) & F.col("error").isNull() & (F.size("reasons") == 0) & (F.col("leaked") == 0)
+    return again.select(*[c for c in told.columns if c not in ("_nonce", "text", "expected", "entities")], assisted.alias("assisted"))
+
+
+def report(results: DataFrame) -> DataFrame:
+    """One row of counters over ``case_results``: sums are partial before the single row."""
+    s = F.col("status")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return results.agg(
+        F.count(F.lit(1)).alias("cases"),
+        total("n_expected").alias("expected_entities"),
+        total("n_hits").alias("true_positives"),
+        total("n_predicted").alias("predicted_entities"),
+        total("n_extra_values").alias("extra_replacement_values"),
+        F.count_if(_failed(s)).alias("detection_failures"),
+        F.count_if(s.isin("passed", "blocked:fixture_oracle")).alias("runtime_gate_passes"),
+        F.count_if(s.isin(*BLOCKED_BY_GATE)).alias("runtime_gate_blocks"),
+        F.count_if(s == "blocked:fixture_oracle").alias("known_control_leak_cases"),
+        F.count_if(s == "passed").alias("fixture_oracle_passes"),
+        F.count_if("restoration_checked").alias("deterministic_restoration_checks"),
+        F.count_if(F.col("n_expected") == 0).alias("clean_cases"),
+        F.count_if((F.col("n_expected") == 0) & (F.col("n_predicted") == 0) & F.col("code").isNull()).alias("clean_cases_without_detections"),
+        F.count_if(F.col("category") != "standard").alias("adversarial_cases"),
+        F.count_if("assisted").alias("fixture_assisted_review_passes"),
+    )
