@@ -31,27 +31,29 @@ from quillmesh.llm.common import holds
 #: A match's ids as decimal text.
 Entry = bytes
 
+#: A place is a word's number and a position in it, so that one order by a number serves all words.
 ENCODE = """
 WITH RECURSIVE steps AS (
-  SELECT word, pos, token, true AS more FROM bytes_
+  SELECT (word << 32) | pos AS place, token, true AS more FROM bytes_
   UNION ALL
   (WITH pairs AS (
-    SELECT word, pos, token, lead(token) OVER w AS after, lag(pos) OVER w AS before
-    FROM steps WHERE more WINDOW w AS (PARTITION BY word ORDER BY pos)),
+    SELECT place, token, lead(token) OVER w AS after, lead(place) OVER w AS next_, lag(place) OVER w AS before
+    FROM steps WHERE more WINDOW w AS (ORDER BY place)),
   best AS (
-    SELECT p.word, min(m.rank * 4294967296 + p.pos) AS key
-    FROM pairs AS p JOIN merges AS m ON m.left_ = p.token AND m.right_ = p.after GROUP BY p.word)
-  SELECT p.word, p.pos, CASE WHEN p.pos = b.key % 4294967296 THEN b.key // 4294967296 ELSE p.token END AS token, b.key IS NOT NULL AS more
-  FROM pairs AS p LEFT JOIN best AS b ON p.word = b.word
-  WHERE b.key IS NULL OR p.before IS NULL OR p.before <> b.key % 4294967296)
+    SELECT p.place >> 32 AS word, min((m.rank << 32) | (p.place & 4294967295)) AS key
+    FROM pairs AS p JOIN merges AS m ON m.left_ = p.token AND m.right_ = p.after WHERE p.next_ >> 32 = p.place >> 32 GROUP BY ALL)
+  SELECT p.place, CASE WHEN p.place & 4294967295 = b.key & 4294967295 THEN b.key >> 32 ELSE p.token END AS token, b.key IS NOT NULL AS more
+  FROM pairs AS p LEFT JOIN best AS b ON p.place >> 32 = b.word
+  WHERE b.key IS NULL OR p.before IS NULL OR p.before <> ((b.word << 32) | (b.key & 4294967295)))
 )
-SELECT word, pos, token FROM steps WHERE NOT more
+SELECT place >> 32 AS word, place & 4294967295 AS pos, token FROM steps WHERE NOT more
 """
 
 JOINED = """
 SELECT word, string_agg(CAST(token AS VARCHAR), ',' ORDER BY pos) AS ids FROM ids GROUP BY word
 """
 
+#: Bytes are written as the characters U+0000 to U+00FF.
 DECODE = """
 SELECT i.word, string_agg(v.piece, '' ORDER BY i.pos) AS piece
 FROM ids AS i JOIN vocabulary AS v ON v.token = i.token GROUP BY i.word
@@ -92,7 +94,7 @@ class Codec:
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, rank = (pa.array(x, pa.int64()) for x in zip(*merges, strict=True))
         self._table("merges", pa.table({"left_": left, "right_": right, "rank": rank}))
-        self._table("vocabulary", pa.table({"token": pa.array(list(self.ranks.values()), pa.int64()), "piece": [t.hex() for t in self.ranks]}))
+        self._table("vocabulary", pa.table({"token": pa.array(list(self.ranks.values()), pa.int64()), "piece": [t.decode("latin-1") for t in self.ranks]}))
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.con.register("given", rows)
@@ -168,7 +170,7 @@ class Codec:
         self._table("ids", pa.table({"word": word, "pos": pos, "token": np.concatenate([np.empty(0, np.int64), *ids])}))
         found = [b""] * len(ids)
         for i, piece in self.con.execute(DECODE).fetchall():
-            found[i] = bytes.fromhex(piece)
+            found[i] = piece.encode("latin-1")
         return found
 
     def matches(self, text: str) -> list[str]:
