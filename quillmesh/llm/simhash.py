@@ -310,8 +310,8 @@ def _dealt(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(first), *row, at)], names=list(BLOCK))
 
 
-def _by_token(names: tuple[str, ...], make: Callable[..., pa.RecordBatch]):
-    """Hands rows in the order of token to make, with all rows of a token at once."""
+def _by_token(names: tuple[str, ...], make: Callable[..., Iterator[pa.RecordBatch]]):
+    """Hands rows in the order of token to make, with all rows of a token at once; what it makes goes on bit by bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -321,11 +321,11 @@ def _by_token(names: tuple[str, ...], make: Callable[..., pa.RecordBatch]):
                 continue
             cut = int(np.searchsorted(part[0], part[0][-1]))  # the last token may go on in the next batch
             if cut:
-                yield make(*(np.concatenate(x) for x in zip(*held, [y[:cut] for y in part], strict=True)))
+                yield from make(*(np.concatenate(x) for x in zip(*held, [y[:cut] for y in part], strict=True)))
                 held = []
             held.append([x[cut:] for x in part])
         if held:
-            yield make(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from make(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -339,7 +339,7 @@ def _fits(similarity: float, z: np.ndarray, a: np.ndarray, x: np.ndarray, b: np.
 def _met(similarity: float, small: int = 64):
     """Rows of the tokens that more than one set has; of small blocks, of the sets that another one fits."""
 
-    def make(token, node, size, rare, at) -> pa.RecordBatch:
+    def make(token, node, size, rare, at) -> Iterator[pa.RecordBatch]:
         equal = token[1:] == token[:-1]
         rows = np.flatnonzero(np.concatenate([[False], equal]) | np.concatenate([equal, [False]]))
         kept = np.ones(len(rows), bool)
@@ -354,11 +354,14 @@ def _met(similarity: float, small: int = 64):
                 np.fill_diagonal(fits, False)
                 kept[s:e] = fits.any(axis=1)
         rows = rows[kept]
-        return pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (token, node, size, rare, at)], names=list(BLOCK))
+        yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (token, node, size, rare, at)], names=list(BLOCK))
 
     return make
 
 
+CELLS = 1 << 20  # pairs of a block that are judged at a time; as many at most wait to be given
+
+
 def _pairs(similarity: float, stars: bool):
     """(u, v) of a token that have different roots and can reach the similarity by their sizes and the token's places.
 
@@ -366,9 +369,15 @@ def _pairs(similarity: float, stars: bool):
     with one member, u, are given: that with the fewest rare shingles, to which edited copies are closest.
     """
 
-    def make(token, node, size, rare, at, root) -> pa.RecordBatch:
+    def given(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        if not stars:
+            u, v = np.minimum(u, v), np.maximum(u, v)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def make(token, node, size, rare, at, root) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.diff(token)) + 1
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        us, vs, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for s, e in zip(np.concatenate([[0], edge]).tolist(), np.concatenate([edge, [len(token)]]).tolist(), strict=True):
             own, many = np.unique(root[s:e], return_counts=True)
             if len(own) < 2:
@@ -381,8 +390,9 @@ def _pairs(similarity: float, stars: bool):
                 order = np.lexsort((size[s:e], last))
                 rows = int((~last).sum())
             n, z, a, r = (x[s:e][order] for x in (node, size.astype(np.int64), at, root))
-            for i in range(0, rows, 256):
-                part = slice(i, min(i + 256, rows))
+            step = max(1, min(256, CELLS // len(n)))
+            for i in range(0, rows, step):
+                part = slice(i, min(i + step, rows))
                 if stars:
                     others = np.arange(1, len(n))
                 else:  # partners are sought among sizes within reach only
@@ -394,10 +404,12 @@ def _pairs(similarity: float, stars: bool):
                 k, m = np.nonzero(fits)
                 us.append(n[k + i])
                 vs.append(n[others[m]])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        if not stars:
-            u, v = np.minimum(u, v), np.maximum(u, v)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                held += len(k)
+                if held >= CELLS // 4:
+                    yield given(us, vs)
+                    us, vs, held = [], [], 0
+        if us:
+            yield given(us, vs)
 
     return make
 
