@@ -252,6 +252,37 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+BRIEF = 16  # words of 64 bits
+
+
+def brief(x: bytes) -> bytes:
+    """A sketch folded to ``BRIEF`` words at most, with zeros after it up to that length."""
+    a = np.frombuffer(x, np.uint64)
+    while len(a) > BRIEF:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a.tobytes().ljust(8 * BRIEF, b"\0")
+
+
+def _briefs(b: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column("node"), pa.array([brief(x) for x in b.column("sketch").to_pylist()], pa.binary())], names=["node", "brief"])
+
+
+def all_apart(briefs: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``apart`` of the sketches of rows u and v, all pairs at once; briefs has a row of ``BRIEF`` words for each set, size the sets' members."""
+    words = np.clip(2.0 ** (np.floor(np.log2(np.maximum(size, 1))) - 4), 1, BRIEF).astype(np.int64)
+    least = np.minimum(words[u], words[v])
+    out = np.empty(len(u), np.int64)
+    for n in np.unique(least).tolist():
+        at, now, wide = np.flatnonzero(least == n), briefs, BRIEF
+        while wide > n:  # rows that are as short already have zeros in the upper half
+            wide //= 2
+            now = now[:, :wide] ^ now[:, wide:]
+        for i in range(0, len(at), CHUNK):
+            part = at[i : i + CHUNK]
+            out[part] = np.bitwise_count(now[u[part]] ^ now[v[part]]).sum(axis=1)
+    return out
+
+
 def _sampled(shingle: int):
     """(token, n): documents of a batch that hold each shingle."""
 
@@ -316,7 +347,7 @@ def _by_token(names: tuple[str, ...], make: Callable[..., Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for b in batches:
-            part = [b.column(c).to_numpy() for c in names]
+            part = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
             if not len(part[0]):
                 continue
             cut = int(np.searchsorted(part[0], part[0][-1]))  # the last token may go on in the next batch
@@ -363,9 +394,9 @@ CELLS = 1 << 20  # pairs of a block that are judged at a time; as many at most w
 
 
 def _pairs(similarity: float, stars: bool):
-    """(u, v) of a token that have different roots and can reach the similarity by their sizes and the token's places.
+    """(u, v) of a token that have different roots and can reach the similarity by their sizes, the token's places and their brief sketches.
 
-    The bound by places holds at the first token that two sets share, so no such pair is lost. With stars, only pairs
+    The bound by places holds at the first token that two sets share, that by sketches everywhere, so no such pair is lost. With stars, only pairs
     with one member, u, are given: that with the fewest rare shingles, to which edited copies are closest.
     """
 
@@ -375,7 +406,8 @@ def _pairs(similarity: float, stars: bool):
             u, v = np.minimum(u, v), np.maximum(u, v)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    def make(token, node, size, rare, at, root) -> Iterator[pa.RecordBatch]:
+    def make(token, node, size, rare, at, root, brief) -> Iterator[pa.RecordBatch]:
+        brief = np.frombuffer(b"".join(brief), np.uint64).reshape(-1, BRIEF)
         edge = np.flatnonzero(np.diff(token)) + 1
         us, vs, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for s, e in zip(np.concatenate([[0], edge]).tolist(), np.concatenate([edge, [len(token)]]).tolist(), strict=True):
@@ -389,7 +421,7 @@ def _pairs(similarity: float, stars: bool):
                 last = root[s:e] == own[many.argmax()]
                 order = np.lexsort((size[s:e], last))
                 rows = int((~last).sum())
-            n, z, a, r = (x[s:e][order] for x in (node, size.astype(np.int64), at, root))
+            n, z, a, r, f = (x[s:e][order] for x in (node, size.astype(np.int64), at, root, brief))
             step = max(1, min(256, CELLS // len(n)))
             for i in range(0, rows, step):
                 part = slice(i, min(i + step, rows))
@@ -402,9 +434,11 @@ def _pairs(similarity: float, stars: bool):
                 fits = (r[part, None] != r[None, others]) & (others[None, :] > np.arange(part.start, part.stop)[:, None])
                 fits &= _fits(similarity, z[part, None], a[part, None], z[None, others], a[None, others])
                 k, m = np.nonzero(fits)
-                us.append(n[k + i])
-                vs.append(n[others[m]])
-                held += len(k)
+                k, m = k + i, others[m]
+                near = z[k] + z[m] - all_apart(f, z, k, m) >= 2 * _needed(similarity / (1 + similarity), z[k] + z[m])
+                us.append(n[k[near]])
+                vs.append(n[m[near]])
+                held += int(near.sum())
                 if held >= CELLS // 4:
                     yield given(us, vs)
                     us, vs, held = [], [], 0
@@ -492,6 +526,7 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int, most: int = 2) ->
     near = checkpoint(_alike(fps, most))
     asked = blocks.select("node").union(near.select(F.col("u").alias("node"))).union(near.select(F.col("v").alias("node"))).distinct()
     sketches = checkpoint(fps.join(asked, "node", "left_semi").select("node", "size", "sketch"))
+    briefs = sketches.select("node", "sketch").mapInArrow(per_batch(_briefs), "node long, brief binary")
     packed = rows.select("node", "text").mapInArrow(per_batch(_packed), "node long, text binary")
     texts = checkpoint(packed.join(asked, "node", "left_semi").dropDuplicates(["node"]))
     del packed
@@ -499,8 +534,8 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int, most: int = 2) ->
 
     def linked(roots: DataFrame | None, stars: bool, more: DataFrame | None = None) -> DataFrame:
         rooted = blocks.withColumn("root", F.col("node")) if roots is None else blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ordered = rooted.select(*BLOCK, "root").repartition(n, "token").sortWithinPartitions("token")
-        met = ordered.mapInArrow(_by_token((*BLOCK, "root"), _pairs(similarity, stars)), "u long, v long")
+        ordered = rooted.select(*BLOCK, "root").join(briefs, "node").select(*BLOCK, "root", "brief").repartition(n, "token").sortWithinPartitions("token")
+        met = ordered.mapInArrow(_by_token((*BLOCK, "root", "brief"), _pairs(similarity, stars)), "u long, v long")
         pairs = (met if more is None else met.union(more)).distinct()
         own = lambda c: sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
         close = checkpoint(pairs.join(own("u"), "u").join(own("v"), "v").select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v").mapInArrow(per_batch(_close(similarity)), "u long, v long"))

@@ -469,6 +469,40 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     assert got == groups_by_brute_force(rows)
 
 
+def test_blocks_give_only_pairs_within_reach():
+    """Of sets that share much but don't reach the similarity, a block gives few of its pairs; of those that do, all."""
+    rng = np.random.default_rng(9)
+    for size, edits in ((60, (4, 14)), (400, (20, 90)), (5000, (100, 1200))):
+        base = rng.integers(0, 1 << 63, size, np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.permutation(size)[k:]], rng.integers(0, 1 << 63, k, np.uint64)])) for k in [edits[0]] * 8 + [edits[1]] * 60]
+        sketches = [simhash.sketch(x) for x in sets]
+        u, v = np.triu_indices(len(sets), 1)
+        z, f = np.array([len(x) for x in sets]), np.frombuffer(b"".join(map(simhash.brief, sketches)), np.uint64).reshape(-1, simhash.BRIEF)
+        least = simhash.all_apart(f, z, u, v)
+        assert all(n <= simhash.apart(sketches[a], sketches[b]) for a, b, n in zip(u, v, least, strict=True))
+        if size < 500:
+            assert all(n == simhash.apart(sketches[a], sketches[b]) for a, b, n in zip(u, v, least, strict=True))
+        zero = np.zeros(len(sets), np.int64)
+        given = {
+            (int(a), int(b))
+            for batch in simhash._pairs(0.8, False)(zero, np.arange(len(sets)), z, zero, zero, np.arange(len(sets)), np.array([simhash.brief(x) for x in sketches], object))
+            for a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v")), strict=True)
+        }
+        similar = {(a, b) for a, b in zip(u.tolist(), v.tolist(), strict=True) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+        assert similar and similar <= given
+        if size < 500:
+            assert len(given) < 0.2 * len(u)
+
+
+def test_brief_sketches_of_unlike_lengths():
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (1, 2, 15, 16, 17, 31, 32, 63, 64, 127, 128, 255, 256, 257, 500, 511)]
+    sketches = [simhash.sketch(x) for x in sets]
+    u, v = np.triu_indices(len(sets), 1)
+    f = np.frombuffer(b"".join(map(simhash.brief, sketches)), np.uint64).reshape(-1, simhash.BRIEF)
+    assert simhash.all_apart(f, np.array([len(x) for x in sets]), u, v).tolist() == [simhash.apart(sketches[a], sketches[b]) for a, b in zip(u, v, strict=True)]
+
+
 def test_near_copies_with_repeated_or_missing_ids(spark):
     base = [f"word{i}" for i in range(100)]
     rows = [(1, " ".join(base)), (1, "another text that has nothing in common with it"), (None, " ".join([*base, "more"])), (None, "alone " * 3 + " ".join(base[::-1])), (None, "alone " * 4 + " ".join(base[::-1])), (2, "short"), (2, "short")]
