@@ -12,9 +12,8 @@ does, so the probabilities of all texts add up to more than one.
 
 Baum-Welch: each round runs forward and backward recursions over the training documents of every shard, and expected counts are
 added up across partitions. For this only, documents are cut into chunks that share a token with the one before, so that every
-transition counts once; a document's first chunk alone counts as a start. A few rounds over a sample of documents of bounded size, chosen
-by the hash of doc_id, give the starting point; it is the same however the input is laid out. Scores are exact: the scaled forward recursion
-runs over each whole text.
+transition counts once; a document's first chunk alone counts as a start. Every round, from the first on, sees all training documents.
+Scores are exact: the scaled forward recursion runs over each whole text.
 
 Null and empty texts are one end token. Equal texts get equal scores (up to the last bits of sums); rows without doc_id are learned from; without any
 training document all counts are zero; an empty table gives no rows; more columns of the input are left alone.
@@ -277,8 +276,11 @@ def _scored(model: Model, total: int):
     return run
 
 
-def score(docs: DataFrame, states: int = 8, rounds: int = 4, warm_rounds: int = 12, warm_docs: int = 5000, frequent: int = 4096) -> DataFrame:
-    """Counts and log10 probabilities of each document; rows whose crc32(doc_id as text) mod 10 is 0 are held out."""
+def score(docs: DataFrame, states: int = 8, rounds: int = 4, warm_rounds: int = 12, frequent: int = 4096) -> DataFrame:
+    """Counts and log10 probabilities of each document; rows whose crc32(doc_id as text) mod 10 is 0 are held out.
+
+    warm_rounds and rounds are both over all training documents.
+    """
     spark = docs.sparkSession
     buckets = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learnable() % 10 == 0, F.lit(False)).alias("held"), "text")
@@ -304,53 +306,6 @@ def score(docs: DataFrame, states: int = 8, rounds: int = 4, warm_rounds: int =
 
     model = fresh(states, shares)
     if total:
-        many = coded.select(F.explode("docs.held").alias("h")).where("not h").count()
-        sample = coded.mapInArrow(_drawn(min(1.0, warm_docs / max(1, many))), "mark long, docs array<struct<held:boolean,length:long>>, classes binary")
-        model = _warmed(sample, model, warm_rounds, states, shares)
-        for _ in range(rounds):
+        for _ in range(warm_rounds + rounds):
             model = round_(coded, model)
     return coded.mapInArrow(_scored(model, total), SCORES)
-
-
-def _drawn(share: float):
-    """A row for each training document whose hash of doc_id is among that share of all hashes."""
-    kind = pa.list_(pa.struct([("held", pa.bool_()), ("length", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for docs, blob in zip(b.column("docs").to_pylist(), b.column("classes").to_pylist(), strict=True):
-                ends = np.cumsum([d["length"] for d in docs])
-                marks = [xxhash.xxh64_intdigest(str(d["doc_id"]), 17) >> 1 for d in docs]
-                chosen = [i for i, d in enumerate(docs) if not d["held"] and marks[i] <= share * ((1 << 63) - 1)]
-                if chosen:
-                    classes = unpack(blob, "<u2")[0]
-                    own = [pack(classes[ends[i] - docs[i]["length"] : ends[i]]) for i in chosen]
-                    lists = [[{"held": False, "length": docs[i]["length"]}] for i in chosen]
-                    yield pa.RecordBatch.from_arrays([pa.array([marks[i] for i in chosen], pa.int64()), pa.array(lists, kind), pa.array(own, pa.binary())], names=["mark", "docs", "classes"])
-
-    return run
-
-
-def _warmed(sample: DataFrame, model: Model, rounds: int, states: int, shares: np.ndarray) -> Model:
-    """The model after rounds over a sample of documents, in one task; in the order of mark and text, so that sums come out alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted((mark, unpack(blob, "<u2")[0].tobytes()) for b in batches for mark, blob in zip(b.column("mark").to_pylist(), b.column("classes").to_pylist(), strict=True))
-        parts = []
-        for at in range(0, len(texts), 1000):
-            own = [np.frombuffer(t, "<u2") for _, t in texts[at : at + 1000]]
-            docs = [{"held": False, "length": len(t)} for t in own]
-            parts.append(pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([pack(np.concatenate(own))], pa.binary())], names=["docs", "classes"]))
-        now = model
-        for _ in range(rounds):
-            flat = None
-            for out in _counted(now)(iter(parts)):
-                flat = out.column("value").to_numpy()
-            if flat is None:
-                break
-            now = learned(flat, states, shares)
-        values = np.concatenate([x.ravel() for x in now])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["place", "value"])
-
-    found = sample.repartition(1).mapInArrow(run, "place long, value double").toPandas().sort_values("place")["value"].to_numpy(np.float64)
-    return found[:states], found[states : states * (1 + states)].reshape(states, states), found[states * (1 + states) :].reshape(states, -1)

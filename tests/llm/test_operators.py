@@ -273,6 +273,33 @@ def test_language_model_in_plain_python(spark, monkeypatch):
         assert math.isclose(got[i].score, log, rel_tol=1e-4)
 
 
+def test_language_model_learns_from_all_documents(spark, monkeypatch):
+    """Each round is over all training documents: a corpus of more than 5,000 is learned as by plain rounds over its chunks."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(25)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 4)))) for i in range(9000)]
+    models = []
+    scored = hmm._scored
+    monkeypatch.setattr(hmm, "_scored", lambda model, total: models.append(model) or scored(model, total))
+    hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), states=2, rounds=0, warm_rounds=2)
+    cut = [t.encode().lower().split() + [hmm.END] for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for ws in cut for w in ws)
+    n = sum(c.values())
+    key = {w: xxhash.xxh64_intdigest(w, 13) >> 2 | 1 << 62 for w in c}
+    assert all(k * 4096 >= n for k in c.values())
+    keys = sorted({*range(hmm.ENDINGS), *key.values()})
+    place = {k: i for i, k in enumerate(keys)}
+    mass = np.full(len(keys), 0.1)
+    for w in c:
+        mass[place[key[w]]] = c[w] + 0.2
+    classes, lengths = np.array([place[key[w]] for ws in cut for w in ws]), np.array([len(ws) for ws in cut])
+    shares = mass / mass.sum()
+    model = hmm.fresh(2, shares)
+    for _ in range(2):
+        model = hmm.learned(np.concatenate([x.ravel() for x in hmm.expected(model, *hmm.chunked(classes, lengths, 8))]), 2, shares)
+    assert all(np.allclose(x, y, rtol=1e-3, atol=1e-7) for x, y in zip(models[0], model, strict=True))
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(1)
     start, step, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3)
