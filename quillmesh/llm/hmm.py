@@ -156,35 +156,40 @@ def expected(model: Model, sequences: np.ndarray, mask: np.ndarray, opens: np.nd
 
     Where opens is false, a row goes on from another one, which has counted its first token already.
     """
-    start, step, emit = (x.astype(np.float32) for x in model)
-    lanes, width = sequences.shape
+    start, step, emit = (np.ascontiguousarray(x, np.float32) for x in model)
     states = len(start)
-    table = np.ascontiguousarray(emit.T)
-    seen = table[sequences.T]  # (time, lane, state)
-    alpha = np.empty((width, lanes, states), np.float32)
-    now = start[None, :] * seen[0]
-    alpha[0] = now / now.sum(axis=1, keepdims=True)
-    for t in range(1, width):
-        now = (alpha[t - 1] @ step) * seen[t]
-        alpha[t] = now / now.sum(axis=1, keepdims=True)
-    back = np.ones((lanes, states), np.float32)
+    sizes = mask.sum(axis=1)
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
+    lanes, width = len(sizes), int(sizes[0])
+    at = np.ascontiguousarray(sequences[order, :width].T, np.intp)
+    alive = np.searchsorted(-sizes, -np.arange(1, width + 1), side="right").tolist()
+    # (time, state, lane): the first lanes of a time are real, so all work is over long runs and none over padding.
+    seen = np.empty((width, states, lanes), np.float32)
+    alpha = np.zeros_like(seen)
+    forth = np.ascontiguousarray(step.T)
+    for t, n in enumerate(alive):
+        own = np.take(emit, at[t], axis=1, out=seen[t], mode="clip")[:, :n]
+        now = np.multiply(forth @ alpha[t - 1, :, :n] if t else start[:, None], own, out=alpha[t, :, :n])
+        scale = np.float32(1) / now.sum(axis=0)
+        now *= scale
+        own *= scale
+    # Both recursions have the same scale, so alpha * back adds up to one and needs no other; alpha becomes the states' shares in place.
+    back = np.ones((states, lanes), np.float32)
     moves = np.zeros((states, states))
-    gamma = np.empty_like(alpha)
-    real = mask.T.astype(np.float32)
-    for t in range(width - 1, -1, -1):
-        joint = alpha[t] * back
-        gamma[t] = joint / joint.sum(axis=1, keepdims=True) * real[t][:, None]
-        if t:
-            ahead = seen[t] * back
-            new = ahead @ step.T
-            scale = (alpha[t - 1] * new).sum(axis=1)
-            moves += (alpha[t - 1] * (real[t] / scale)[:, None]).T.astype(np.float64) @ ahead
-            back = np.where(real[t][:, None] > 0, new / new.sum(axis=1, keepdims=True) * states, back)
+    for t in range(width - 1, 0, -1):
+        n = alive[t]
+        ahead = seen[t, :, :n]
+        ahead *= back[:, :n]
+        alpha[t, :, :n] *= back[:, :n]
+        moves += alpha[t - 1, :, :n] @ ahead.T
+        back[:, :n] = step @ ahead
+    alpha[0] *= back
     if opens is not None:
-        gamma[0] *= opens[:, None]
-    flat, at = gamma.reshape(-1, states), sequences.T.reshape(-1)
-    emitted = np.stack([np.bincount(at, flat[:, s], emit.shape[1]) for s in range(states)])
-    return gamma[0].sum(axis=0, dtype=np.float64), moves * step.astype(np.float64), emitted
+        alpha[0] *= opens[order]
+    flat = at.reshape(-1)
+    emitted = np.stack([np.bincount(flat, alpha[:, s].reshape(-1), emit.shape[1]) for s in range(states)])
+    return alpha[0].sum(axis=1, dtype=np.float64), moves * step.astype(np.float64), emitted
 
 
 def chunked(classes: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,9 +200,9 @@ def chunked(classes: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.nd
     place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = first + place * step
     size = np.minimum(width, np.repeat(lengths, pieces) - place * step)
-    grid = begin[:, None] + np.arange(width)[None, :]
     mask = np.arange(width)[None, :] < size[:, None]
-    return np.where(mask, classes[np.minimum(grid, len(classes) - 1)], 0), mask, place == 0
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([classes, np.zeros(width, classes.dtype)]), width)[begin]
+    return rows * mask, mask, place == 0
 
 
 def _counted(model: Model, width: int = 128, lanes: int = 2048):
@@ -206,10 +211,9 @@ def _counted(model: Model, width: int = 128, lanes: int = 2048):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for b in batches:
-            for docs, blob in zip(b.column("docs").to_pylist(), b.column("classes").to_pylist(), strict=True):
-                lengths = np.array([d["length"] for d in docs])
-                train = ~np.array([d["held"] for d in docs])
-                own = unpack(blob, "<u2")[0][np.repeat(train, lengths)].astype(np.int64)
+            for length, held, blob in zip(b.column("length"), b.column("held"), b.column("classes"), strict=True):
+                lengths, train = length.values.to_numpy(), ~held.values.to_numpy(zero_copy_only=False)
+                own = unpack(blob.as_py(), "<u2")[0][np.repeat(train, lengths)]
                 if not len(own):
                     continue
                 rows, mask, opens = chunked(own, lengths[train], width)
@@ -299,6 +303,7 @@ def score(docs: DataFrame, states: int = 8, rounds: int = 4, warm_rounds: int =
     shares = (n_of + SMOOTH * (v_of + 1)) / (n_of + SMOOTH * (v_of + 1)).sum()
 
     def round_(source: DataFrame, model: Model) -> Model:
+        source = source.select("docs.length", "docs.held", "classes")
         sums = source.mapInArrow(_counted(model), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
         counts = np.zeros(states * (1 + states + len(keys)))
         counts[sums["place"].to_numpy(np.int64)] = sums["value"].to_numpy(np.float64)

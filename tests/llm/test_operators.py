@@ -329,6 +329,34 @@ def test_chunks_count_every_transition_once():
     assert Counter(pairs) == Counter(want) and mask.sum() - (~opens).sum() == lengths.sum()
 
 
+def test_expected_counts_leave_padding_out():
+    """Rows of mixed lengths against loops in doubles; padding holds a class that no state can emit, so any work on it shows."""
+    rng = np.random.default_rng(7)
+    start, step = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3)
+    emit = np.hstack([np.zeros((3, 1)), rng.dirichlet(np.ones(5), 3)])
+    sizes = np.array([4, 20, 1, 9, 9, 13])
+    opens = np.array([True, False, True, True, False, False])
+    mask = np.arange(20)[None, :] < sizes[:, None]
+    rows = rng.integers(1, 6, mask.shape) * mask
+    starts, moves, seen = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 6))
+    for row, n, first in zip(rows, sizes, opens, strict=True):
+        x = row[:n]
+        alpha, beta = [start * emit[:, x[0]]], [np.ones(3)]
+        for o in x[1:]:
+            alpha.append(alpha[-1] @ step * emit[:, o])
+        for o in x[:0:-1]:
+            beta.insert(0, step @ (emit[:, o] * beta[0]))
+        total = alpha[-1].sum()
+        for t, o in enumerate(x):
+            if t or first:
+                seen[:, o] += alpha[t] * beta[t] / total
+            if t:
+                moves += np.outer(alpha[t - 1], emit[:, o] * beta[t]) * step / total
+        starts += first * alpha[0] * beta[0] / total
+    got = hmm.expected((start, step, emit), rows, mask, opens)
+    assert all(np.allclose(x, y, rtol=1e-4, atol=1e-6) for x, y in zip(got, (starts, moves, seen), strict=True))
+
+
 def test_em_raises_likelihood():
     rng = np.random.default_rng(2)
     shares = np.full(6, 1 / 6)
