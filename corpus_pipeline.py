@@ -18,6 +18,7 @@ from quillmesh.llm.common import checkpoint, read, small_batches
 TOXIC = 0.3
 SIMILARITY, SHINGLE = 0.8, 5
 ROOM = 2048
+KEEP = 300_000  # chunks a worker knows; a long-lived executor has both its workers and a full heap in one budget
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece in the packed sequences. Null and empty texts give a piece of their own."""
     small_batches(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), room=ROOM)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), room=ROOM, keep=KEEP)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
@@ -19,15 +20,18 @@ def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Rows that go to Python at a time. Documents can be long, and a batch is held several times on its way.
-ROWS = 2000
+#: Rows, and about as many bytes, that go to Python at a time. Documents can be long, and a batch is held several times on its way.
+ROWS, BYTES = 2000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to ``ROWS`` rows, if they are larger."""
+    """Sets the session's Arrow batches to ``ROWS`` rows and ``BYTES`` bytes, if they are larger."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ROWS:
         spark.conf.set(name, str(ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BYTES:
+        spark.conf.set(name, str(BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -67,11 +71,23 @@ def learnable(doc_id: str = "doc_id"):
 _held: dict[str, Callable[[], None]] = {}
 
 
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)  # other C libraries have no such call
+
+
+def give_back() -> None:
+    """Memory that is free in this process, but that its allocators keep, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def holds(module: str, release: Callable[[], None] = lambda: None) -> None:
-    """Called by a task of a module: what other modules keep in this Python worker, which outlives tasks, is let go."""
+    """Called by a task of a module: what other modules keep in this Python worker, which outlives tasks, is let go, and free memory given back."""
     for other in [m for m in _held if m != module]:
         _held.pop(other)()
     _held[module] = release
+    give_back()
 
 
 def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -82,6 +98,7 @@ def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callab
         for batch in batches:
             if batch.num_rows and (made := make(batch)) is not None:
                 yield made
+        give_back()
 
     return run
 

@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmesh.llm.common import checkpoint, holds, partitions
+from quillmesh.llm.common import checkpoint, give_back, holds, partitions
 
 COARSE, PARTS = 128, 4
+KEEP = 1_000_000  # chunks whose ids a worker keeps
 Plan = list[tuple[tuple[int, ...], int]]
 
 
@@ -38,7 +39,7 @@ class Encoder:
     are encoded many at a time, joined by spaces, and told apart by the tokens that end words, or by offsets.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000, joined: int = 128):
+    def __init__(self, path: str, keep: int = KEEP, joined: int = 128):
         self.tokenizer = Tokenizer.from_file(path)
         self.keep, self.joined = keep, joined
         self.known: dict[bytes, bytes] = {}
@@ -118,21 +119,21 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = KEEP) -> Encoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    return Encoder(path)
+    return Encoder(path, keep)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, room: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
-    """A row for each piece; with_ids adds the ids themselves."""
+def pieces(docs: DataFrame, path: str, room: int = 2048, end: int = 0, with_ids: bool = False, keep: int = KEEP) -> DataFrame:
+    """A row for each piece; with_ids adds the ids themselves; keep bounds the chunks that a worker keeps, and so its memory."""
     tail = np.array([end], "<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def rows(ids: list[int | None], texts: list[bytes | None]) -> Iterator[tuple]:
-        for doc_id, data in zip(ids, encoder(path).encode(texts), strict=True):
+        for doc_id, data in zip(ids, encoder(path, keep).encode(texts), strict=True):
             data += tail
             for i, at in enumerate(range(0, len(data), 4 * room)):
                 part = data[at : at + 4 * room]
@@ -146,6 +147,7 @@ def pieces(docs: DataFrame, path: str, room: int = 2048, end: int = 0, with_ids:
                 part = b.slice(at, 512)
                 found = list(rows(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
@@ -285,9 +287,9 @@ def ranked(held: DataFrame) -> DataFrame:
     return held.withColumn("_local", local).join(before.drop("_n"), ["_bucket", "length"]).withColumn("rank", F.col("_before") + F.col("_local") - 1).drop("_bucket", "_before", "_local")
 
 
-def pack(docs: DataFrame, path: str, room: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, room: int = 2048, end: int = 0, with_ids: bool = False, keep: int = KEEP) -> DataFrame:
     """Pieces with sequence_id and offset."""
-    held = checkpoint(bucketed(pieces(docs, path, room, end, with_ids)))
+    held = checkpoint(bucketed(pieces(docs, path, room, end, with_ids, keep)))
     rows = ranked(held)
     counts = np.zeros(room + 1, np.int64)
     for n, c in held.groupBy("length").count().collect():  # a row for each length
@@ -298,6 +300,7 @@ def pack(docs: DataFrame, path: str, room: int = 2048, end: int = 0, with_ids: b
     step = 1 << 40
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds(f"{__name__}.pack")  # all texts are encoded by now
         table = shared.value
         keys = table["length"] * step + table["rank"]
         for b in batches:

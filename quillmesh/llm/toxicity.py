@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import holds, learnable, per_batch, unused
+from quillmesh.llm.common import give_back, holds, learnable, per_batch, unused
 
 BITS = 20
 STEMS = (3, 4, 5)
@@ -92,6 +92,8 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(slots)), key=lambda i: (xxhash.xxh64_intdigest(slots[i].tobytes()), labels[i]))
         at, w = train([slots[i] for i in order], np.array(labels, np.float64)[order])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w)], names=["slot", "weight"])
+    del slots, labels
+    give_back()
 
 
 def fit(docs: DataFrame, marks: DataFrame, max_rows: int = 16_000) -> dict[str, np.ndarray]:
